@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op5_token_counts
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": OP2_SQL,
+}
