@@ -78,7 +78,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     if doc_ids is not None:
         rows = rows.filter(F.col("doc_id").isin([int(i) for i in doc_ids]))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # base has a row per file, so its size is bounded by the writer's n_files
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(rows: DataFrame) -> DataFrame:
