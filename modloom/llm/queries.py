@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op10_byte_bpe
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op5_token_counts
 from .token_files import op1_token_files
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
