@@ -6,11 +6,13 @@ from .byte_bpe import op10_byte_bpe
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op5_token_counts
 from .token_files import op1_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
