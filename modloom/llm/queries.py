@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .near_dedup import op8_near_dedup
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op5_token_counts
 from .token_files import op1_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
