@@ -83,7 +83,7 @@ def _sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest (null for an empty set), keys, sketch."""
+    """doc_id, tie (hash of the text), n (set size), digest (null for an empty set), keys, sketch."""
     ship(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +97,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 digest.append(None if s is None else hashlib.md5(h.tobytes()).digest())
                 keys.append(None if s is None else nd.band_keys(s))
                 sketch.append(None if s is None else nd.odd_sketch(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "tie", "n", "digest", "keys", "sketch"])
 
-    return text_of(docs).mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>, sketch array<long>")
+    return text_of(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(sign, "doc_id long, tie long, n long, digest binary, keys array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -208,7 +208,7 @@ def tile_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, buckets: D
 
 
 def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, digest, n_shingles, component_id, kept."""
+    """Per row of docs: doc_id, tie (hash of the text), label (of its component; null without words), n_shingles, component_id, kept."""
     sig = materialise(signatures(docs, k))
     full = sig.filter("digest IS NOT NULL")
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
@@ -221,17 +221,20 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
         labels = components(first.union(more))
     named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(ids, "label").select("digest", "component_id")
-    out = sig.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(named, "digest", "left")
+    named = named.join(ids, "label").select("digest", "label", "component_id")
+    out = sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles")).join(named, "digest", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "digest", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
-    """One row of each group, all columns: that of the smallest doc_id; of repeated rows of it, one."""
-    g = grouped(docs, percent, k).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each group, with all columns: that of the smallest doc_id. Rows without words stay, repeated ones once."""
+    g = materialise(grouped(docs, percent, k).select("doc_id", "tie", "label"))
+    first = g.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("w")).select("w.doc_id", "w.tie")
+    stay = first.union(g.filter("label IS NULL").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    d = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = d.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

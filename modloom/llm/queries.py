@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .decontaminate import op3_decontaminate
 from .near_dedup import op8_near_dedup
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op5_token_counts
@@ -12,6 +13,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,

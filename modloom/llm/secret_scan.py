@@ -122,7 +122,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced in its text: <secret> for live-looking values, <example> for copied ones; all rows and columns stay."""
+    """docs with every span replaced in its text: <secret> for live-looking values, <example> for copied ones; all rows and columns stay, n_chars follows."""
     found = scan(docs).filter(F.col("spans").isNotNull()).dropDuplicates(["doc_id", "tie"])
     f = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
     d = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
@@ -136,7 +136,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(r["start"] < a["pos"], F.struct(F.greatest(a["pos"], r["end"]).alias("pos"), a["out"].alias("out"))).otherwise(F.struct(r["end"].alias("pos"), cut.alias("out"))).cast(kind)
 
     clean = F.aggregate("_spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return d.select(*[F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = d.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,12 +28,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _PLACE = mixed(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in a row, and the number of words of each text."""
+def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in a row, and the number of words of each text. With marks, ASCII punctuation parts words too."""
     raw = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    letter = ~_SPACE[raw]
+    letter = ~(_MARKS if marks else _SPACE)[raw]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     start = np.flatnonzero(first)
