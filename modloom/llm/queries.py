@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann_graph import op6_ann_graph
 from .byte_bpe import op10_byte_bpe
 from .decontaminate import op3_decontaminate
 from .near_dedup import op8_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op6_ann_graph": op6_ann_graph,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
