@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship, text_of
 
 #: Bytes of a word that goes through the recursive query; words of one query; tokens decoded by one query; entries of each cache.
-LONG, WORDS, TOKENS, MAX_UNITS, MAX_WORDS = 256, 30_000, 500_000, 900_000, 700_000
+LONG, WORDS, TOKENS, MAX_UNITS, MAX_WORDS = 256, 30_000, 500_000, 900_000, 1_000_000
+#: Bytes of text that are handled at once.
+BLOCK = 4_000_000
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 #: a: the word's tokens so far. Each round unnests them to rows, joins neighbours with the merge table and contracts one pair a word.
@@ -45,7 +47,7 @@ WITH RECURSIVE t AS (
   WHERE NOT done)
 SELECT w, a AS ids FROM t WHERE done ORDER BY w
 """
-DECODE_SQL = "SELECT d, unhex(string_agg(h, '' ORDER BY pos)) AS raw FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d"
+DECODE_SQL = "SELECT d, unhex(array_to_string(list(h ORDER BY pos), '')) AS raw FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
 
 def codec(path: str, pattern: str) -> "Codec":
@@ -131,13 +133,8 @@ class Codec:
         new = {u for u in units if u not in self.units}
         if not new:
             return
-        if len(self.units) + len(new) > MAX_UNITS:
-            self.units = {}
-            new = units
         parts = {u: self.pattern.findall(u[1:] if u[:1] == "\0" else " " + u) for u in new}
         words = {w for p in parts.values() for w in p}
-        if len(self.words) + len(words) > MAX_WORDS:
-            self.words = {}
         self._learn_words({w for w in words if w not in self.words})
         for u, p in parts.items():
             self.units[u] = b"".join([self.words[w] for w in p])
@@ -161,29 +158,34 @@ class Codec:
         for i, units in enumerate(cut):
             raw = b""
             if units is not None:
-                self._learn(set(units))
-                raw = b"".join(map(self.units.__getitem__, units))
+                try:
+                    raw = b"".join(map(self.units.__getitem__, units))
+                except KeyError:  # not prepared
+                    self._learn(set(units))
+                    raw = b"".join(map(self.units.__getitem__, units))
             if i in odd:
                 words = set(odd[i])
-                if any(w not in self.words for w in words):
-                    if len(self.words) + len(words) > MAX_WORDS:
-                        self.words = {}
-                    self._learn_words({w for w in words if w not in self.words})
+                self._learn_words({w for w in words if w not in self.words})
                 raw += b"".join(map(self.words.__getitem__, odd[i]))
             out.append(raw)
         return out
 
     def prepare(self, texts: list[str]) -> None:
-        """Learn the units of many texts by few queries."""
+        """Learn the units of many texts by few queries; full caches begin anew here, never in between."""
+        if len(self.units) > MAX_UNITS:
+            self.units = {}
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
         units: set[str] = set()
+        words: set[str] = set()
         for t in texts:
-            if "\0" not in t and not self.odd.search(t):
+            if "\0" in t or self.odd.search(t):
+                words.update(self.pattern.findall(t))
+            else:
                 u = t.removesuffix(" ").split(" ")
                 units.update(u[1:])
                 units.add("\0" + u[0])
-            if len(units) > MAX_UNITS // 4:
-                self._learn(units)
-                units = set()
+        self._learn_words({w for w in words if w not in self.words})
         self._learn(units)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -209,6 +211,16 @@ class Codec:
         return [b"".join(x) for x in out]
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about BLOCK bytes of text."""
+    ends = np.cumsum(np.array([len(t) for t in batch.column(1).to_pylist()], np.int64))
+    i = 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK)))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
     ship(docs.sparkSession)
@@ -219,9 +231,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
 
         c = codec(path, pattern)
         for b in batches:
-            c.prepare(b.column(1).to_pylist())
-            for i in range(0, len(b), 500):
-                some = b.slice(i, 500)
+            for some in blocks(b):
+                c.prepare(some.column(1).to_pylist())
                 ids = c.encode(some.column(1).to_pylist())
                 back = c.decode(ids)
                 lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
