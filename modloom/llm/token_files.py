@@ -44,13 +44,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from modloom.llm.word_pieces import encoder
+        from modloom.llm.word_pieces import blocks, encoder
 
         enc, part, at = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for i in range(0, len(b), 500):  # small output batches, as ids take more room than text
-                some = b.slice(i, 500)
-                raw = [enc.ids(t) + end for t in some.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            for i, j in blocks([len(t) for t in texts]):  # small output batches, as ids take more room than text
+                some = b.slice(i, j - i)
+                raw = [x + end for x in enc.encode(texts[i:j])]
                 n = np.array([len(x) // 4 for x in raw], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -8,7 +8,7 @@ as a whole, as special strings are matched before anything else.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -84,32 +84,47 @@ class WordEncoder:
                 got[c] = np.asarray(e.ids, "<u4").tobytes()
         return got
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = {w for w in words if w not in self.cache}
-        if not new:
-            return
-        if len(self.cache) + len(new) > self.max_entries:
-            self.cache = {"": b""}
-        parts: dict[str, tuple[str, str]] = {}
+    def learn(self, new: set[str]) -> None:
+        """Add words that the cache lacks."""
+        parts: list[tuple[str, str, str]] = []
+        cores: set[str] = set()
         for w in new:
             core = w.rstrip(TAIL)
             # the tail is a piece of its own only after a letter or digit that no normaliser turns into something else
-            parts[w] = (core, w[len(core) :]) if core and core[-1].isalnum() and (core[-1].isascii() or "à" <= core[-1] <= "ÿ") else (w, "")
-        got = self._cores({x for p in parts.values() for x in p if x})
-        got[""] = b""
-        for w, (core, tail) in parts.items():
-            self.cache[w] = got[core] + got[tail] if tail else got[core]
-        for core in got:
-            self.cache.setdefault(core, got[core])
+            if core == w or not core or not (core[-1].isalnum() and (core[-1].isascii() or "à" <= core[-1] <= "ÿ")):
+                cores.add(w)
+            else:
+                parts.append((w, core, w[len(core) :]))
+                cores.add(core)
+                cores.add(parts[-1][2])
+        got = self._cores(cores)
+        self.cache.update(got)
+        self.cache.update([(w, got[core] + got[tail]) for w, core, tail in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the words of all of them are learnt together."""
+        cut = [self.words(t) for t in texts]
+        distinct: set[str] = set()
+        for words in cut:
+            if words is not None:
+                distinct.update(words)
+        if len(self.cache) > self.max_entries:
+            self.cache = {"": b""}
+        self.learn(distinct.difference(self.cache))
+        find = self.cache.__getitem__
+        return [self.whole(t) if words is None else b"".join(map(find, words)) for t, words in zip(texts, cut, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        words = self.words(text)
-        if words is None:
-            return self.whole(text)
-        distinct = set(words)
-        if len(distinct) > self.max_entries:
-            return self.whole(text)
-        self.learn(distinct)
-        if any(w not in self.cache for w in distinct):  # the cache was begun anew
-            self.learn(distinct)
-        return b"".join(map(self.cache.__getitem__, words))
+        return self.encode([text])[0]
+
+
+def blocks(sizes: list[int], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most about `most` characters; a larger row stands alone."""
+    i = 0
+    while i < len(sizes):
+        j, n = i + 1, sizes[i]
+        while j < len(sizes) and n + sizes[j] <= most:
+            n += sizes[j]
+            j += 1
+        yield i, j
+        i = j
