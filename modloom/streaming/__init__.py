@@ -1 +1 @@
-
+"""Empty on purpose: graph clustering here is a batch computation, and nothing in it consumes a stream."""
