@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import key
+from ..shipping import ship
 
 BLOCK = 1024
 
@@ -28,6 +29,7 @@ def _blocks(points: DataFrame, extra: list[str]) -> tuple[DataFrame, int]:
 def best_pairs(points: DataFrame, k: int, scaled: bool = False, self_too: bool = False) -> DataFrame:
     """(src, dst, d2, v): for every point the k best others. v is the squared distance or, scaled by the column tau,
     d2 / sqrt(tau_src * tau_dst); least first, ties to the smaller id."""
+    ship(points.sparkSession)
     extra = ["tau"] if scaled else []
     blocks, n = _blocks(points, extra)
     left = blocks.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
@@ -127,6 +129,7 @@ def moments(points: DataFrame) -> DataFrame:
 
 def pca(points: DataFrame, k: int) -> DataFrame:
     """(id, projected): centred, onto the k leading eigenvectors of the covariance (signs: largest component positive)."""
+    ship(points.sparkSession)
     rows = moments(points).collect()  # dims**2 / 2 numbers
     d = max(r["i"] for r in rows) + 1
     c = np.zeros((d, d))

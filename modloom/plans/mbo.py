@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import modularity
+from ..shipping import ship
 from .tables import materialise
 
 
@@ -69,6 +70,7 @@ def solve(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame,
     """scheme: projection, finite_difference, hu or boyd. vectors: (id, v); degrees: (id, d); init: (id, label), null for none.
 
     stopping: standard (four times the nodes that move) or modularity (of `edges`), at most tol."""
+    ship(vectors.sparkSession)
     lam = np.asarray(lam, float)
     state = vectors.join(degrees.select("id", F.col("d").cast("double").alias("d")), "id").join(init, "id").select("id", "v", "d", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
     state = materialise(state)

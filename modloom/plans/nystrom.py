@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.affinity import landmarks
+from ..shipping import ship
 from .tables import materialise
 
 RCOND = 1e-10
@@ -65,6 +66,7 @@ def spectrum(points: DataFrame, k: int, m: int, tau: float, kind: str = "laplaci
     """The m smallest eigenvalues and (id, v). kind: laplacian, lmix, lb or classic; norm: sym or rw.
 
     truncated sums the whole part of each degree in the total; own_null_degree scales the uniform null model by its own degree."""
+    ship(points.sparkSession)
     p = points.select("id", "features")
     marks = np.array([r["features"] for r in landmarks(p, k, seed).orderBy("rank").collect()])  # k rows
     ids = [r["id"] for r in landmarks(p, k, seed).orderBy("rank").collect()]

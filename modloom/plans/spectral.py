@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import key
 from ..operators.matrices import node_table, null_weight
+from ..shipping import ship
 from .tables import materialise
 
 DENSE = 2048
@@ -174,6 +175,7 @@ def power_step(edges: DataFrame, x: DataFrame) -> DataFrame:
 
 def gram_of(v: DataFrame) -> np.ndarray:
     """V'V of (id, v), by partial sums in each partition."""
+    ship(v.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
