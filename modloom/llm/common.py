@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from ..shipping import ship
 
+__all__ = ["drop_dir", "materialise", "partitions", "shared_dir", "ship", "table", "text_of"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[2]
-    with tempfile.TemporaryDirectory() as tmp:
-        stage = Path(tmp, "stage")
-        shutil.copytree(root / "modloom", stage / "modloom", ignore=shutil.ignore_patterns("__pycache__"))
-        made = shutil.make_archive(str(Path(tmp, f"modloom_{uuid.uuid4().hex[:8]}")), "zip", stage)
-        keep = Path(tempfile.mkdtemp(prefix="modloom-"), os.path.basename(made))
-        shutil.copy(made, keep)
-    spark.sparkContext.addPyFile(str(keep))
-    _SHIPPED.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

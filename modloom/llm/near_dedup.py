@@ -231,10 +231,10 @@ def deduplicate(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     """One row of each group, with all columns: that of the smallest doc_id. Rows without words stay, repeated ones once."""
     g = materialise(grouped(docs, percent, k).select("doc_id", "tie", "label"))
     first = g.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("w")).select("w.doc_id", "w.tie")
-    stay = first.union(g.filter("label IS NULL").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
-    d = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = d.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    stay = first.union(g.filter("label IS NULL").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("__modloom_id"), F.col("tie").alias("__modloom_tie"))
+    d = docs.withColumn("__modloom_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = d.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__modloom_id")) & (F.col("__modloom_hash") == F.col("__modloom_tie")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__modloom_hash"]).drop("__modloom_hash")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,9 +124,9 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced in its text: <secret> for live-looking values, <example> for copied ones; all rows and columns stay, n_chars follows."""
     found = scan(docs).filter(F.col("spans").isNotNull()).dropDuplicates(["doc_id", "tie"])
-    f = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
-    d = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    d = d.join(f, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left")
+    f = found.select(F.col("doc_id").alias("__modloom_id"), F.col("tie").alias("__modloom_tie"), F.col("spans").alias("__modloom_spans"))
+    d = docs.withColumn("__modloom_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    d = d.join(f, F.col("doc_id").cast("long").eqNullSafe(F.col("__modloom_id")) & (F.col("__modloom_hash") == F.col("__modloom_tie")), "left")
     kind = "struct<pos:long,out:string>"
     first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")).cast(kind)
 
@@ -135,8 +135,8 @@ def redact(docs: DataFrame) -> DataFrame:
         cut = F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), (r["start"] - a["pos"]).cast("int")), tag)
         return F.when(r["start"] < a["pos"], F.struct(F.greatest(a["pos"], r["end"]).alias("pos"), a["out"].alias("out"))).otherwise(F.struct(r["end"].alias("pos"), cut.alias("out"))).cast(kind)
 
-    clean = F.aggregate("_spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = d.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate("__modloom_spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = d.withColumn("text", F.when(F.col("__modloom_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -6,7 +6,7 @@ hash names a slot, and the broadcast table, whose size is fixed, names its shard
 besides its own.
 
 Defined results: a null key is placed as the empty string; repeated keys go to one shard; an empty table gives no rows;
-further columns are ignored by the query and kept by `place`.
+further columns are ignored by the query and kept by `place`, which replaces columns named slot or shard.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ def fill(names: list[str], slots: int = SLOTS, weights: list[int] | None = None)
 
 def place(rows: DataFrame, key: str, owner: np.ndarray) -> DataFrame:
     """rows with the columns slot and shard: one hash and one look into the broadcast table for each."""
+    rows = rows.drop("slot", "shard")
     table = rows.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(owner)], "slot int, shard int")
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(k.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(len(owner))).cast("int")

@@ -335,7 +335,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a score column after its own."""
+    """docs with a score column after its own (a column of that name is replaced)."""
+    docs = docs.drop(name)
     ship(docs.sparkSession)
     at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size, about 2.5 MB
