@@ -11,8 +11,8 @@ from modloom.llm import byte_bpe, common, decontaminate, near_dedup, secret_scan
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores below its threshold."""
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.add_score(docs, model, "_score")
-    return scored.filter(scored["_score"] < toxicity.THRESHOLD).drop("_score")
+    scored = toxicity.add_score(docs, model, "__modloom_score")
+    return scored.filter(scored["__modloom_score"] < toxicity.THRESHOLD).drop("__modloom_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
