@@ -123,12 +123,13 @@ def _bits(x: Column, y: Column) -> Column:
 
 
 def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between members and their bucket's smallest class; buckets (key, least, members)."""
-    buckets = materialise(bands.groupBy("key").agg(F.min("digest").alias("least"), F.count("digest").alias("members")).filter("members > 1"))
+    """Confirmed links (a, b) between members and their bucket's smallest class; the members (key, digest, members) of buckets of several."""
+    buckets = bands.groupBy("key").agg(F.min("digest").alias("least"), F.count("digest").alias("members")).filter("members > 1")
     # a bucket may hold a third of all classes: its members are dealt over SALTS tasks
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
-    copies = buckets.select("key", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = materialise(bands.withColumn("salt", salt).join(copies, ["key", "salt"]).filter("digest <> least").select(F.col("least").alias("p"), F.col("digest").alias("m")).distinct())
+    copies = buckets.select("key", "least", "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared_keys = materialise(bands.withColumn("salt", salt).join(copies, ["key", "salt"]).select("key", "digest", "least", "members"))
+    pairs = materialise(shared_keys.filter("digest <> least").select(F.col("least").alias("p"), F.col("digest").alias("m")).distinct())
     small = classes.select("digest", "n", "sketch")
     pivots = pairs.groupBy("p").agg(F.count("m").alias("edges")).join(small.withColumnRenamed("digest", "p"), "p")
     pivots = pivots.select("p", F.col("n").alias("n_p"), F.col("sketch").alias("s_p"), (F.col("edges") / SHARE + 1).cast("int").alias("shares"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -142,7 +143,7 @@ def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: i
     both = near.join(sets.select(F.col("digest").alias("m"), F.col("hashes").alias("h_m")), "m").join(left, ["p", "share"])
     shared = F.size(F.array_intersect("h_p", "h_m"))
     links = both.filter(shared * 100 >= (F.size("h_p") + F.size("h_m") - shared) * percent)
-    return links.select(F.col("p").alias("a"), F.col("m").alias("b")), buckets
+    return links.select(F.col("p").alias("a"), F.col("m").alias("b")), shared_keys.select("key", "digest", "members")
 
 
 def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
@@ -179,9 +180,9 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
     return found
 
 
-def tile_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
+def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
     """Further links (a, b) within buckets of three or more members that lie in several components."""
-    members = bands.join(buckets.filter("members > 2").select("key", "members"), "key").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    members = members.filter("members > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     members = materialise(members.select("key", "digest", "label", "members"))
     per = members.groupBy("key", "label").agg(F.count("digest").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
     keys = per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > most")
@@ -213,10 +214,10 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     full = sig.filter("digest IS NOT NULL")
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     bands = classes.select("digest", F.explode("keys").alias("key"))
-    first, buckets = star_links(docs, classes, bands, percent, k)
+    first, members = star_links(docs, classes, bands, percent, k)
     first = materialise(first)
     labels = components(first)
-    more = materialise(tile_links(docs, classes, bands, buckets, labels, percent, k))
+    more = materialise(tile_links(docs, classes, members, labels, percent, k))
     if more.limit(1).count():
         labels = components(first.union(more))
     named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
