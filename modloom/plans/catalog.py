@@ -11,7 +11,7 @@ from ..functions import encoding as enc
 from ..functions.encoding import key, six
 from ..operators import affinity, labelling, matrices, metrics
 from ..sources import graphs
-from . import baselines, mbo, nystrom, spectral
+from . import baselines, experiment, mbo, nystrom, spectral
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 5
@@ -465,3 +465,15 @@ def connected_components(spark, d):
 @query
 def spectral_kmeans(spark, d):
     return baselines.spectral_kmeans(_block_model(spark)[0], 4)
+
+
+# --- experiments --------------------------------------------------------------------------------------------------------
+
+
+@query
+def experiment_grid(spark, d):
+    """Two of the twelve configurations on the karate club, a start each; all but the time."""
+    e, n = graphs.karate(spark)
+    some = [c for c in experiment.CONFIGURATIONS if c[:2] in (("projection", "lmix_sym"), ("hu", "laplacian_sym"))]
+    runs = experiment.run_grid(e, n, 4, repeats=1, configurations=some, gamma=1.0)
+    return experiment.averages(runs).select("algo", "operator", "runs", "n_iter", *[six(F.col(c)).alias(c) for c in ("modularity", "modularity_er", "ari", "purity", "inverse_purity", "nmi")])
