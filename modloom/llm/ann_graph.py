@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import discard, materialise, ship
 
 SHARD, DEGREE, SLACK, BEAM, ALPHA = 4096, 32, 48, 64, 1.2
 SEARCH_BEAM, WIDE, BLOCK = 96, 4, 512
@@ -162,7 +162,9 @@ def index(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
         graph, start = g.build(x)
         return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "shard": [int(pdf.shard.iloc[0])], "ids": [[list(map(int, i)) for i in pdf.ids]], "vectors": [x.tobytes()], "edges": [graph.astype(np.int32).tobytes()], "start": [start]})
 
-    return materialise(dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids array<array<long>>, vectors binary, edges binary, start int"))
+    graphs = materialise(dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids array<array<long>>, vectors binary, edges binary, start int"))
+    discard(nodes)
+    return graphs
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:

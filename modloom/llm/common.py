@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["drop_dir", "materialise", "partitions", "shared_dir", "ship", "table", "text_of"]
+__all__ = ["discard", "materialise", "partitions", "shared_dir", "ship", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,18 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/modloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, keep: str | None = None) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = keep or shared_dir(df.sparkSession)
+    path = shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._modloom_path = path
+    return out
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder of materialise() once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialise() that nothing will read again: what was made from them is itself written."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(t._modloom_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_dir, materialise, shared_dir
+from .common import discard, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): every node of the links with the smallest node that it reaches. Each round is written to the shared folder."""
-    spark = links.sparkSession
     edges = materialise(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).filter("x <> y").distinct())
-    old = shared_dir(spark)
-    labels = materialise(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), old)
+    labels = materialise(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
     while True:
         heard = edges.join(labels.select(F.col("node").alias("y"), "label"), "y").select(F.col("x").alias("node"), "label")
         least = labels.union(heard).groupBy("node").agg(F.min("label").alias("label"))
         # the label's own label, as of the round before, may be smaller still
         jump = least.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", F.least("label", "further").alias("label"))
-        path = shared_dir(spark)
-        new = materialise(jump, path)
+        new = materialise(jump)
         changed = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").limit(1).count()
-        drop_dir(spark, old)
-        labels, old = new, path
+        discard(labels)
+        labels = new
         if not changed:
+            discard(edges)
             return labels

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ship, text_of
+from .common import discard, materialise, ship, text_of
 from .components import components
 from .shingles import mixed, shingles, word_hashes
 
@@ -143,7 +143,9 @@ def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: i
     both = near.join(sets.select(F.col("digest").alias("m"), F.col("hashes").alias("h_m")), "m").join(left, ["p", "share"])
     shared = F.size(F.array_intersect("h_p", "h_m"))
     links = both.filter(shared * 100 >= (F.size("h_p") + F.size("h_m") - shared) * percent)
-    return links.select(F.col("p").alias("a"), F.col("m").alias("b")), shared_keys.select("key", "digest", "members")
+    links = materialise(links.select(F.col("p").alias("a"), F.col("m").alias("b")))
+    discard(pairs, near, sets)
+    return links, shared_keys
 
 
 def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
@@ -182,14 +184,14 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
 
 def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
     """Further links (a, b) within buckets of three or more members that lie in several components."""
-    members = members.filter("members > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    members = materialise(members.select("key", "digest", "label", "members"))
-    per = members.groupBy("key", "label").agg(F.count("digest").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    named = members.select("key", "digest", "members").filter("members > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    named = materialise(named.select("key", "digest", "label", "members"))
+    per = named.groupBy("key", "label").agg(F.count("digest").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
     keys = per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > most")
     # buckets of equal members are settled once
     keys = keys.groupBy("x", "y", "members").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("k")).select("k.key", "k.main", (F.col("members") / TILE + 1).cast("int").alias("nb"), ((F.col("members") - F.col("k.most")) / TILE + 1).cast("int").alias("na"))
     keys = materialise(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    m = members.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(keys, ["key", "salt"])
+    m = named.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(keys, ["key", "salt"])
     h = F.xxhash64("digest", F.lit(7))
     side_b = m.select("key", "digest", "label", F.lit(1).alias("side"), F.pmod(h, F.col("nb")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"))
     side_a = m.filter("label <> main").select("key", "digest", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), F.pmod(h, F.col("na")).cast("int").alias("ta"))
@@ -205,7 +207,9 @@ def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels:
             return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
         return pd.DataFrame(nd.settle(pdf, percent), columns=["a", "b"])
 
-    return tiles.join(sets, "digest").groupBy("key", "ta", "tb").applyInPandas(run, "a binary, b binary")
+    links = materialise(tiles.join(sets, "digest").groupBy("key", "ta", "tb").applyInPandas(run, "a binary, b binary"))
+    discard(named, keys, tiles, wanted)
+    return links
 
 
 def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
@@ -215,11 +219,13 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     bands = classes.select("digest", F.explode("keys").alias("key"))
     first, members = star_links(docs, classes, bands, percent, k)
-    first = materialise(first)
     labels = components(first)
-    more = materialise(tile_links(docs, classes, members, labels, percent, k))
+    more = tile_links(docs, classes, members, labels, percent, k)
+    discard(members)
     if more.limit(1).count():
+        discard(labels)
         labels = components(first.union(more))
+    discard(first, more)
     named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(ids, "label").select("digest", "label", "component_id")
