@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, written = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir))
+        if written:
+            common.discard(written)
+        written = docs
     return docs
