@@ -212,9 +212,11 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words (the first stands for no word), all words in a row by number, words of each text."""
     known: dict[str, int] = {"": 0}
-    rows = [words_of(t) for t in texts]
-    ids = np.array([known.setdefault(w, len(known)) for ws in rows for w in ws], np.int32)
-    return list(known), ids, np.array([len(ws) for ws in rows], np.int64)
+    rows = []
+    for t in texts:  # words are let go text by text
+        ws = words_of(t)
+        rows.append(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws)))
+    return list(known), np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
 
 def _window_ids(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -243,7 +245,7 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     i = 0
     while i < len(texts):  # blocks of bounded size, whole texts
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) < 4_000_000):
+        while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
             size += len(texts[j])
             j += 1
         known, ids, sizes = _numbered(texts[i:j])
