@@ -47,22 +47,22 @@ BP, BN = "greatest(w - p, 0)", "greatest(p - w, 0)"
 MATRICES = {
     "null_model": "p",
     "laplacian": "one * di - w",
-    "laplacian_sym": "one - w / sqrt(di * dj)",
-    "laplacian_rw": "one - w / di",
+    "laplacian_sym": "one - w / sqrt(nullif(di * dj, 0))",
+    "laplacian_rw": "one - w / nullif(di, 0)",
     "signless": "one * di + p",
-    "signless_sym": "one + p / sqrt(di * dj)",
-    "signless_rw": "one + p / di",
-    "lmix_sym": "2 * one - (w - p) / sqrt(di * dj)",
-    "lmix_rw": "2 * one - (w - p) / di",
+    "signless_sym": "one + p / sqrt(nullif(di * dj, 0))",
+    "signless_rw": "one + p / nullif(di, 0)",
+    "lmix_sym": "2 * one - (w - p) / sqrt(nullif(di * dj, 0))",
+    "lmix_rw": "2 * one - (w - p) / nullif(di, 0)",
     "modularity_matrix": "w - p",
     "b_pos": BP,
     "b_neg": BN,
-    "b_pos_lap_sym": f"one - {BP} / sqrt(pi * pj)",
-    "b_pos_lap_rw": f"one - {BP} / pi",
-    "b_neg_signless_sym": f"one + {BN} / sqrt(ni * nj)",
-    "b_neg_signless_rw": f"one + {BN} / ni",
-    "lb_sym": f"2 * one - {BP} / sqrt(pi * pj) + {BN} / sqrt(ni * nj)",
-    "lb_rw": f"2 * one - {BP} / pi + {BN} / ni",
+    "b_pos_lap_sym": f"one - {BP} / sqrt(nullif(pi * pj, 0))",
+    "b_pos_lap_rw": f"one - {BP} / nullif(pi, 0)",
+    "b_neg_signless_sym": f"one + {BN} / sqrt(nullif(ni * nj, 0))",
+    "b_neg_signless_rw": f"one + {BN} / nullif(ni, 0)",
+    "lb_sym": f"2 * one - {BP} / sqrt(nullif(pi * pj, 0)) + {BN} / sqrt(nullif(ni * nj, 0))",
+    "lb_rw": f"2 * one - {BP} / nullif(pi, 0) + {BN} / nullif(ni, 0)",
 }
 
 
