@@ -2,10 +2,15 @@
 
 Training happens on the driver in numpy, on variants of the notices below (a fixed, small set): a multinomial logistic
 regression over the presence of word n-grams (1 to 3), with `unknown` as a class of its own fed by ordinary sentences that
-share words with notices; a temperature fitted on held-out variants calibrates the probabilities. Scoring: a paragraph (a
-line) that holds no anchor word is unknown; the others' n-grams join the weight table (fixed size, broadcast), sums give
-probabilities. A family with a calibrated probability of at least CONFIDENT is a prediction; it is confirmed where the
-paragraph holds at least OVERLAP of the word pairs of one of the family's notices.
+share words with notices; a temperature fitted on held-out variants calibrates the probabilities. Scoring: the n-grams of a paragraph (a line) join
+the weight table (fixed size, broadcast), sums give probabilities. A family with a calibrated probability of at least
+CONFIDENT is a prediction; it is confirmed where the paragraph holds at least OVERLAP of the word pairs of one of the
+family's notices. A paragraph without an anchor word is a prediction only if it is confirmed (the model alone takes a
+German "mit" for a family). So paragraphs with neither an anchor nor one of telling_pairs() need no scoring.
+
+The lines between blank lines (all lines of a text without one) are also scored joined, as notices may be wrapped: where
+that confirms a family that none of the lines confirms, the joined lines count as one paragraph of that family, in place of
+the lines predicted to be of it.
 
 Defined results: a null or empty text has no paragraphs; repeated rows are kept and get equal results; rows that share a
 doc_id but not the text are different documents; an empty table gives no rows; further columns are ignored.
@@ -16,7 +21,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -32,7 +37,7 @@ NOTICES = {
 }
 #: Sentences of no family.
 ORDINARY = ["The driver showed a licence to the officer.", "A fishing license is needed on this river.", "The copyright of the song was sold to a firm.", "With the permission of the owner we crossed the field.", "The version was released in spring.", "All rights reserved by the publisher.", "Use of the source of water is permitted.", "The general public was free to see the work.", "Terms and conditions of the sale apply.", "The warranty ends after two years.", "They licensed the name to a maker of shoes.", "The commons were open for creative play.", "A copy of the software was sold with the book.", "The medical board may revoke a license.", "The attribution of the picture is not known."]
-#: A paragraph without any of these is unknown.
+#: A paragraph without any of these is unknown unless confirmed.
 ANCHOR = "(?i)licen[sc]|permission|redistribut|copyright|attribution"
 CONFIDENT, OVERLAP = 0.5, 0.6
 CLASSES = [*NOTICES, "unknown"]
@@ -106,18 +111,35 @@ def _ngrams(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
+def telling_pairs() -> str:
+    """A pattern, for lower-cased text, that all texts holding OVERLAP of some notice's word pairs match: of each notice it
+    takes the pairs of longer words, as rarer ones, so many that those left out are too few to confirm."""
+    out: set[str] = set()
+    for f, notices in NOTICES.items():
+        for i in range(len(notices)):
+            mine = sorted((p for g, k, p, _ in _pairs() if (g, k) == (f, i)), key=lambda p: (-max(map(len, p.split())), -len(p), p))
+            least = next(n for n in range(len(mine) + 1) if n / len(mine) >= OVERLAP)
+            out |= set(mine[: len(mine) - least + 1])
+    return "(?<![a-z0-9])(?:" + "|".join(p.replace(" ", "[^a-z0-9]+") for p in sorted(out)) + ")(?![a-z0-9])"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, paragraph, family, probability, overlap, confirmed of all paragraphs predicted to belong to a family."""
+    """doc_id, tie, paragraph (number of the part between blank lines), line (number within it; -1: its lines joined), family,
+    probability, overlap, confirmed of all paragraphs predicted to belong to a family."""
     spark = docs.sparkSession
     weights, bias = model()
     w = spark.createDataFrame([(g, v) for g, v in weights.items()], "gram string, w array<double>")
     t = spark.createDataFrame(_pairs(), "family string, notice int, gram string, pairs int")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(ANCHOR))
-    lines = d.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(ANCHOR))
+    telling = F.lower("line").rlike(telling_pairs())
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(ANCHOR) | F.lower("text").rlike(telling_pairs()))
+    parts = d.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n\\s*\n")).alias("paragraph", "part"))
+    single = parts.select("doc_id", "tie", "paragraph", F.posexplode(F.split("part", "\n")).alias("n", "line")).withColumn("anchored", F.col("line").rlike(ANCHOR)).filter(F.col("anchored") | telling)
+    joined = parts.filter(F.contains("part", F.lit("\n"))).select("doc_id", "tie", "paragraph", F.lit(-1).alias("n"), F.col("part").alias("line"), F.lit(False).alias("anchored")).filter(telling)
+    lines = single.union(joined)
     words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda x: x != "")
-    grams = materialise(lines.select("doc_id", "tie", "paragraph", words.alias("words")).distinct().select("doc_id", "tie", "paragraph", F.array_distinct(F.concat(_ngrams(F.col("words"), 1), _ngrams(F.col("words"), 2), _ngrams(F.col("words"), 3))).alias("grams")))
-    each = grams.select("doc_id", "tie", "paragraph", F.explode("grams").alias("gram"))
-    key = ["doc_id", "tie", "paragraph"]
+    grams = materialise(lines.select("doc_id", "tie", "paragraph", "n", "anchored", words.alias("words")).distinct().select("doc_id", "tie", "paragraph", "n", "anchored", F.array_distinct(F.concat(_ngrams(F.col("words"), 1), _ngrams(F.col("words"), 2), _ngrams(F.col("words"), 3))).alias("grams")))
+    key = ["doc_id", "tie", "paragraph", "n", "anchored"]
+    each = grams.select(*key, F.explode("grams").alias("gram"))
     # both tables are of fixed size: the model's vocabulary and the notices' word pairs
     z = each.join(F.broadcast(w), "gram").groupBy(*key).agg(*[(F.sum(F.col("w")[i]) + bias[i]).alias(f"z{i}") for i in range(len(CLASSES))])
     top = F.greatest(*[F.col(f"z{i}") for i in range(len(CLASSES))])
@@ -125,10 +147,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     family = F.coalesce(*[F.when(F.col(f"z{i}") == top, F.lit(c)) for i, c in enumerate(CLASSES)])
     said = z.select(*key, family.alias("family"), (1 / total).alias("probability")).filter((F.col("family") != "unknown") & (F.col("probability") >= CONFIDENT))
     held = each.join(F.broadcast(t), "gram").groupBy(*key, "family", "notice").agg((F.count("gram") / F.first("pairs")).alias("share")).groupBy(*key, "family").agg(F.max("share").alias("overlap"))
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*key, "family"]]
-    out = said.alias("s").join(held.alias("h"), same[0] & same[1] & same[2] & same[3], "left")
+    same = F.col("s.doc_id").eqNullSafe(F.col("h.doc_id"))
+    for k in [*key[1:], "family"]:
+        same = same & (F.col(f"s.{k}") == F.col(f"h.{k}"))
     overlap = F.coalesce("h.overlap", F.lit(0.0))
-    return out.select("s.doc_id", "s.tie", "s.paragraph", "s.family", "s.probability", overlap.alias("overlap"), (overlap >= OVERLAP).alias("confirmed"))
+    out = said.alias("s").join(held.alias("h"), same, "left").select("s.*", overlap.alias("overlap"), (overlap >= OVERLAP).alias("confirmed"))
+    out = out.filter(F.col("anchored") | F.col("confirmed"))
+    part = Window.partitionBy("doc_id", "tie", "paragraph", "family")
+    whole = F.col("n") < 0
+    by_line, by_part = F.max(F.col("confirmed") & ~whole).over(part), F.max(F.col("confirmed") & whole).over(part)
+    out = out.withColumn("take", whole == (by_part & ~by_line)).filter("take")
+    return out.select("doc_id", "tie", "paragraph", F.col("n").alias("line"), "family", "probability", "overlap", "confirmed")
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,19 @@ def test_licences(spark):
     assert licence_scan.paragraphs(docs.limit(0)).count() == 0
 
 
+def test_licences_without_anchors_and_wrapped(spark):
+    rows = [
+        (1, "some prose\nYou can modify it under the terms of the GNU General Public\nmore", "s"),
+        (2, "Title\n\nRedistribution and use in\nsource and binary forms, with or\nwithout modification, are permitted.\n \nEnd\nof it", "s"),
+        (3, "Der Hund ging mit dem Ball.\nmit", "s"),
+        (None, "Neither the name of\nthe holder nor the names of its\ncontributors may be used to endorse products.", "s"),
+        (4, "Released under the MIT License.\nThis program is free", "s"),
+    ]
+    got = licence_scan.paragraphs(docs_of(spark, [*rows, rows[1]])).collect()
+    assert {(r["doc_id"], r["paragraph"], r["line"], r["family"], r["confirmed"]) for r in got} == {(1, 0, 1, "gpl", True), (2, 1, -1, "bsd", True), (None, 0, -1, "bsd", True), (4, 0, 0, "mit", True)}
+    assert len(got) == 4
+
+
 def test_shard_table(spark):
     names = shard_table.names(7)
     t = shard_table.fill(names, 1009)
