@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text is lower-cased and cut into words; all overlapping windows of WINDOW words, STRIDE apart, are scored (the last one
+A text is lower-cased and cut into words, those of over PIECE characters (scripts without spaces) into overlapping pieces
+that each count as a word and together hold all its n-grams; all overlapping windows of WINDOW words, STRIDE apart, are scored (the last one
 ends with the text), and the text's score is that of its strongest window. A word's input holds word-level and
 character-level parts: signed likelihood-ratio evidence of the word and of its character n-grams, shape features, and
 trained embeddings of both (hashed). Evidence is cross-fitted during training, so that the network sees it as on new texts.
@@ -32,6 +33,8 @@ TRAIN_ROWS, TRAIN_CHARS = 3000, 200_000
 HIDDEN, ATTENTION, EMBED = 8, 8, 4
 #: Buckets of the evidence tables and of the embeddings; lengths of character n-grams.
 EVIDENCE, BUCKETS, GRAMS = 1 << 18, 1 << 12, (3, 4, 5)
+#: Most characters of a word; words hashed at once.
+PIECE, HASHED = 64, 1 << 14
 #: Rounds of choosing windows; windows fitted in each round (as many epochs as they make, 2 to 16).
 FOLDS, ROUNDS, FITTED, BATCH = 4, 3, 6000, 128
 THRESHOLD = 0.3
@@ -40,7 +43,11 @@ _WORDS = re.compile(r"\w+|[^\w\s]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    ws = _WORDS.findall(text.lower())
+    if max(map(len, ws), default=0) <= PIECE:
+        return ws
+    step = PIECE - max(GRAMS) + 1  # every n-gram lies whole in a piece
+    return [w[i : i + PIECE] for w in ws for i in range(0, max(1, len(w) - max(GRAMS) + 1), step)]
 
 
 @dataclass
@@ -54,7 +61,15 @@ class Words:
 
 
 def hashed(words: list[str]) -> Words:
-    marked = [f"^{w[:64] or ' '}$" for w in words]
+    """Part by part, for words as long as texts take many times their size on the way."""
+    parts = [_hashed(words[i : i + HASHED]) for i in range(0, len(words), HASHED)]
+    before = np.cumsum([0] + [len(u.gram) for u in parts[:-1]])
+    first = np.concatenate([u.first + b for u, b in zip(parts, before, strict=True)])
+    return Words(np.concatenate([u.word for u in parts]), np.concatenate([u.gram for u in parts]), first, np.concatenate([u.shape for u in parts]))
+
+
+def _hashed(words: list[str]) -> Words:
+    marked = [f"^{w or ' '}$" for w in words]
     size = np.array([len(w) for w in marked], np.int64)
     code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     start = np.cumsum(size) - size
@@ -250,7 +265,8 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
             j += 1
         known, ids, sizes = _numbered(texts[i:j])
         doc, first, n = windows(sizes)
-        s = window_scores(model.p, model.inputs(hashed(known)), ids, first, n)
+        x = np.concatenate([model.inputs(hashed(known[a : a + HASHED])) for a in range(0, len(known), HASHED)])
+        s = window_scores(model.p, x, ids, first, n)
         best = np.maximum.reduceat(s, np.searchsorted(doc, np.arange(j - i)))
         out[i:j] = _sig(best.astype(np.float64))
         i = j

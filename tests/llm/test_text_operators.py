@@ -344,6 +344,33 @@ def test_windows_cover_every_word_and_overlap():
     assert [len(s) for s in seen] == [0, 5, 32, 33, 100] and (np.bincount(doc) == [1, 1, 1, 2, 6]).all()
 
 
+def test_no_character_of_a_long_word_is_left_out():
+    for n in (1, 60, 63, 64, 65, 66, 68, 69, 124, 125, 128, 129, 1000):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(w)
+        assert max(map(len, pieces)) <= 64 and (n > 64 or pieces == [w])
+        assert {w[i : i + 5] for i in range(n)} - {w[i:] for i in range(max(0, n - 4), n)} <= {p[i : i + 5] for p in pieces for i in range(len(p))} and "".join(pieces)[-1] == w[-1]
+    rng = random.Random(5)
+    letters = [chr(0x0E01 + i) for i in range(40)]
+
+    def sentence(bad):  # one word, the telling part behind its 64th character
+        t = "".join(rng.choices(letters, k=rng.randint(150, 400)))
+        at = rng.randint(80, len(t) - 20)
+        return t[:at] + "กขฃคฅฆงจฉช" + t[at:] if bad else t
+
+    rows = [(sentence(i % 3 == 0), int(i % 3 == 0)) for i in range(360)]
+    got = toxicity.score_texts(toxicity.fit([t for t, _ in rows[:270]], [y for _, y in rows[:270]]), [t for t, _ in rows[270:]])
+    assert np.mean([(s >= toxicity.THRESHOLD) == bool(y) for s, (_, y) in zip(got, rows[270:], strict=True)]) > 0.8
+
+
+def test_hashes_do_not_depend_on_parts(monkeypatch):
+    words = ["", *(f"w{i}" * (i % 9 + 1) for i in range(100))]
+    a = toxicity.hashed(words)
+    monkeypatch.setattr(toxicity, "HASHED", 7)
+    b = toxicity.hashed(words)
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("word", "gram", "first", "shape"))
+
+
 def test_toxicity_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(6)
     syllables = ["an", "er", "tion", "st", "the", "re", "ou", "nd"]
