@@ -14,7 +14,8 @@ With 24 bands of 5 rows a pair at the threshold of 0.85 is missed with a probabi
 
 Defined results: a null text is empty; a text without words has an empty set, its own component and is kept; documents of
 fewer words than a shingle have one shingle of all their words; repeated rows are copies of one another; rows that share a
-doc_id but not the text are different documents; a null doc_id sorts first and is its group's smallest only if alone; an
+doc_id but not the text are different documents; a null doc_id sorts first and is its group's smallest only if all
+are null (then the text of least hash stays); an
 empty table gives no rows; further columns are ignored by the grouping and kept by the stage.
 """
 
@@ -103,8 +104,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(digest, hashes) of the classes in `wanted` (digest, doc_id of a member)."""
-    d = text_of(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """(digest, hashes) of the classes in `wanted` (digest, doc_id and tie of a member; the doc_id may be null)."""
+    d = text_of(docs).withColumn("tie", F.xxhash64("text")).alias("d")
+    some = wanted.select("doc_id", "tie").distinct().alias("w")
+    d = d.join(some, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tie") == F.col("w.tie")), "left_semi").select("doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from modloom.llm import near_dedup as nd
@@ -114,7 +117,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["digest", "hashes"])
 
     made = d.mapInArrow(build, "digest binary, hashes array<long>")
-    # a doc_id may stand for several texts: keep the wanted ones, once each
+    # repeated rows, and texts of equal hashes: keep the wanted ones, once each
     return made.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
 
@@ -137,7 +140,7 @@ def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: i
     near = near.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int")).join(pivots, ["p", "salt"])
     near = near.filter((F.least("n_p", "n_m") * 100 >= F.greatest("n_p", "n_m") * percent) & (_bits(F.col("s_p"), F.col("s_m")) <= most_bits(percent / 100)))
     near = materialise(near.select("p", "m", "shares", F.pmod(F.xxhash64("m"), F.col("shares")).cast("int").alias("share")))
-    wanted = near.select(F.col("p").alias("digest")).union(near.select("m")).distinct().join(classes.select("digest", "doc_id"), "digest")
+    wanted = near.select(F.col("p").alias("digest")).union(near.select("m")).distinct().join(classes.select("digest", "doc_id", "tie"), "digest")
     sets = materialise(full_sets(docs, wanted, k))
     left = near.select("p", "shares").distinct().join(sets.withColumnRenamed("digest", "p"), "p").select("p", F.col("hashes").alias("h_p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     both = near.join(sets.select(F.col("digest").alias("m"), F.col("hashes").alias("h_m")), "m").join(left, ["p", "share"])
@@ -196,7 +199,7 @@ def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels:
     side_b = m.select("key", "digest", "label", F.lit(1).alias("side"), F.pmod(h, F.col("nb")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"))
     side_a = m.filter("label <> main").select("key", "digest", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), F.pmod(h, F.col("na")).cast("int").alias("ta"))
     tiles = materialise(side_a.unionByName(side_b))
-    wanted = tiles.select("digest").distinct().join(classes.select("digest", "doc_id", "sketch"), "digest")
+    wanted = tiles.select("digest").distinct().join(classes.select("digest", "doc_id", "tie", "sketch"), "digest")
     wanted = materialise(wanted)
     sets = full_sets(docs, wanted, k).join(wanted.select("digest", "sketch"), "digest")
 
@@ -216,7 +219,8 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     """Per row of docs: doc_id, tie (hash of the text), label (of its component; null without words), n_shingles, component_id, kept."""
     sig = materialise(signatures(docs, k))
     full = sig.filter("digest IS NOT NULL")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
+    classes = materialise(full.groupBy("digest").agg(least["doc_id"].alias("doc_id"), least["tie"].alias("tie"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     bands = classes.select("digest", F.explode("keys").alias("key"))
     first, members = star_links(docs, classes, bands, percent, k)
     labels = components(first)
@@ -226,12 +230,14 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
         discard(labels)
         labels = components(first.union(more))
     discard(first, more)
-    named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(ids, "label").select("digest", "label", "component_id")
+    named = classes.select("digest", "doc_id", "tie").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    ids = named.groupBy("label").agg(least["doc_id"].alias("component_id"), least["tie"].alias("first_tie"))
+    named = named.join(ids, "label").select("digest", "label", "component_id", "first_tie")
     out = sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles")).join(named, "digest", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(own), F.lit(False)).alias("kept"))
+    # where all ids of a group are null, its least text is the one kept
+    kept = F.col("doc_id").eqNullSafe(own) & (own.isNotNull() | F.col("first_tie").isNull() | (F.col("tie") == F.col("first_tie")))
+    return out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:

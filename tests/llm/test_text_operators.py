@@ -206,6 +206,20 @@ def test_near_dedup_on_odd_rows(spark):
     assert near_dedup.grouped(docs_of(spark, ODD).limit(0)).count() == 0
 
 
+def test_near_copies_with_null_ids(spark):
+    rng = random.Random(3)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(3))
+    rows = [(None, " ".join(a), "s"), (None, " ".join([*a[:-1], "x"]), "s"), (None, " ".join(b), "s"), (5, " ".join([*b[:-1], "x"]), "s"), (None, " ".join(c), "s"), (None, " ".join(c), "s")]
+    rows += [(None, " ".join(t.split()), "s") for t in chained(rng, 12)]
+    got = near_dedup.grouped(docs_of(spark, rows)).collect()
+    want = brute_groups([(i, t, s) for i, (_, t, s) in enumerate(rows)], 85, 3)
+    assert len({r["label"] for r in got}) == len({g for _, _, g in want}) and len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] == 5} == {5} and sum(r["component_id"] == 5 for r in got) == 2
+    assert len({(r["label"], r["tie"]) for r in got if r["kept"]}) == len({g for _, _, g in want})
+    kept = [r["text"] for r in near_dedup.deduplicate(docs_of(spark, rows)).collect()]
+    assert len(kept) == len({g for _, _, g in want}) and rows[3][1] in kept and rows[2][1] not in kept
+
+
 def test_sketches_tell_similarities_apart():
     rng = np.random.default_rng(2)
     for same in (0.5, 0.85, 0.95):
