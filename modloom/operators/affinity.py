@@ -26,9 +26,10 @@ def _blocks(points: DataFrame, extra: list[str]) -> tuple[DataFrame, int]:
     return points.withColumn("block", (key("id", 11) % n).cast("int")).groupBy("block").agg(rows.alias("rows")), n
 
 
-def best_pairs(points: DataFrame, k: int, scaled: bool = False, self_too: bool = False) -> DataFrame:
+def best_pairs(points: DataFrame, k: int, scaled: bool = False, self_too: bool = False, ties: bool = False) -> DataFrame:
     """(src, dst, d2, v): for every point the k best others. v is the squared distance or, scaled by the column tau,
-    d2 / sqrt(tau_src * tau_dst); least first, ties to the smaller id."""
+    d2 / sqrt(tau_src * tau_dst); least first, ties to the smaller id. ties: all that equal the k-th stay too. Where a tau
+    is 0, v is 0 for equal points and others are infinitely far (left out)."""
     ship(points.sparkSession)
     extra = ["tau"] if scaled else []
     blocks, n = _blocks(points, extra)
@@ -43,19 +44,27 @@ def best_pairs(points: DataFrame, k: int, scaled: bool = False, self_too: bool =
                 d2 = np.empty((len(a), len(b)))
                 for i in range(len(a)):  # differences, not dot products: equal points get exactly 0
                     d2[i] = ((xb - xa[i]) ** 2).sum(1)
-                v = d2 / np.sqrt(np.outer([r["tau"] for r in a], [r["tau"] for r in b])) if scaled else d2.copy()
+                v = d2.copy()
+                if scaled:
+                    scale = np.sqrt(np.outer([r["tau"] for r in a], [r["tau"] for r in b]))
+                    v = np.divide(d2, scale, out=np.where(d2 > 0, np.inf, 0.0), where=scale > 0)
                 if not self_too:
                     v[ia[:, None] == ib[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ib, v.shape), np.round(v, 9)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(a)), order.shape[1])
-                cols = order.ravel()
+                near = np.round(v, 9)
+                if ties:
+                    at = min(k, len(b)) - 1
+                    rows, cols = np.nonzero(near <= np.partition(near, at, axis=1)[:, at : at + 1])
+                else:
+                    order = np.lexsort((np.broadcast_to(ib, v.shape), near), axis=1)[:, :k]
+                    rows = np.repeat(np.arange(len(a)), order.shape[1])
+                    cols = order.ravel()
                 ok = np.isfinite(v[rows, cols])
                 rows, cols = rows[ok], cols[ok]
                 yield pd.DataFrame({"src": ia[rows], "dst": ib[cols], "d2": d2[rows, cols], "v": v[rows, cols]})
 
     best = pairs.mapInPandas(run, "src long, dst long, d2 double, v double")
-    w = Window.partitionBy("src").orderBy(F.round("v", 9), "dst")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("src").orderBy(F.round("v", 9), *([] if ties else ["dst"]))
+    return best.withColumn("rank", (F.rank() if ties else F.row_number()).over(w)).filter(F.col("rank") <= k)
 
 
 def knn(points: DataFrame, k: int = 10) -> DataFrame:
@@ -78,10 +87,10 @@ def averaged(directed: DataFrame) -> DataFrame:
 
 def self_tuned(points: DataFrame, k: int = 10) -> DataFrame:
     """exp(-d2 / sqrt(tau_i tau_j)), tau the squared distance of the k-th neighbour; the k + 1 largest of each row (itself
-    among them) stay, the greater of both directions counts."""
+    among them) and all that equal the least of these stay, the greater of both directions counts."""
     tau = knn(points, k).groupBy("src").agg(F.max("d2").alias("tau"))
     p = points.join(tau, points.id == tau.src).select("id", "features", "tau")
-    best = best_pairs(p, k + 1, scaled=True, self_too=True).select("src", "dst", F.exp(-F.col("v")).alias("w"))
+    best = best_pairs(p, k + 1, scaled=True, self_too=True, ties=True).select("src", "dst", F.exp(-F.col("v")).alias("w"))
     return best.union(best.select("dst", "src", "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 

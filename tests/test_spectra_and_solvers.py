@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modloom.functions.encoding import argmax_label, onehot_pm1, threshold
-from modloom.operators import labelling, matrices, metrics
+from modloom.operators import affinity, labelling, matrices, metrics
 from modloom.plans import baselines, mbo, nystrom, spectral
 from modloom.sources import graphs
 
@@ -163,3 +163,16 @@ def test_baselines_on_karate_and_blocks(blocks, karate):
     assert baselines.greedy_merge(k).select("label").distinct().count() == 3
     assert metrics.modularity(k, baselines.greedy_merge(k)).first()[0] == pytest.approx(0.3807, abs=1e-3)
     assert baselines.girvan_newman(k).groupBy("label").count().count() == 2
+
+
+def test_self_tuned_weights_keep_ties_and_copies(spark):
+    x = [[0.0, 0.0]] * 6 + [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0], [3.0, 4.0], [5.0, 5.0]]
+    got = {(r["src"], r["dst"]): r["w"] for r in affinity.self_tuned(spark.createDataFrame(list(enumerate(x)), "id long, features array<double>"), 3).collect()}
+    d2 = ((np.array(x)[:, None] - np.array(x)[None]) ** 2).sum(2)
+    tau = np.partition(d2, 3, axis=1)[:, 3]
+    scale = np.sqrt(np.outer(tau, tau))
+    w = np.exp(-np.divide(d2, scale, out=np.where(d2 > 0, np.inf, 0.0), where=scale > 0))
+    w[w < np.partition(w, len(x) - 4, axis=1)[:, len(x) - 4 : len(x) - 3]] = 0
+    w = np.maximum(w, w.T)
+    assert set(got) == set(zip(*(a.tolist() for a in np.nonzero(w)), strict=True))
+    assert all(v == pytest.approx(w[k]) for k, v in got.items()) and all((i, j) in got for i in range(6) for j in range(6))
