@@ -19,3 +19,18 @@ def test_files(spark, tmp_path):
     labels = spark.createDataFrame([(0, 1)], "id long, label int")
     files.write_partition(labels, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_the_whole_grid_is_registered(spark, monkeypatch):
+    from modloom.plans.catalog import QUERIES
+
+    seen = []
+
+    def few(e, n, k, null="ng", repeats=20, configurations=tuple(experiment.CONFIGURATIONS), others=(), **rest):
+        seen.append((null, repeats, list(configurations), list(others)))
+        return spark.createDataFrame([(0, a, o, 1, *[0.5] * 7) for a, o, _ in configurations] + [(0, b, "-", None, *[0.5] * 7) for b in others], experiment.SCHEMA)
+
+    monkeypatch.setattr(experiment, "run_grid", few)
+    got = {(r["algo"], r["operator"]) for r in QUERIES["experiment_grid"](spark, "").collect()}
+    assert seen == [("ng", 20, experiment.CONFIGURATIONS, list(experiment.BASELINES)), ("er", 20, experiment.CONFIGURATIONS[:8], [])]
+    assert len(got) == 12 + 8 + len(experiment.BASELINES)
