@@ -1,8 +1,15 @@
-"""A corpus pipeline over documents: toxicity, near-dedup, decontamination, secrets, tokens. Each stage is written as Parquet and read again."""
+"""A corpus pipeline over documents: toxicity, near-dedup, decontamination, secrets, tokens. Each stage is written as Parquet and read again.
+
+Defined results, of every stage: a null text counts as empty, and the row stays as it is; a row with a null doc_id is a document
+like others; an empty table gives an empty table; further columns are kept, whatever their names, by all stages but the last.
+Repeated rows: the network gives them one score, near-dedup leaves one of them (of equal ids and texts); rows that share an id but
+not the text are different documents. Ties of near-dedup: the smallest doc_id, then the least hash of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from modloom.llm import byte_bpe, common, decontaminate, near_dedup, secret_scan, toxicity
@@ -31,8 +38,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
-    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The corpus as it is used: per document its id, number of tokens, their digest and that of what they decode to, the ids, and the
+    text that they decode to. A null text counts as empty."""
+    out = byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
 STAGES = [
