@@ -18,20 +18,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, text_of
+from .common import held, lean, ship, text_blocks, text_of
 
 #: Bytes of a word that goes through the recursive query; words of one query; tokens decoded by one query; entries of each cache.
 LONG, WORDS, TOKENS, MAX_UNITS, MAX_WORDS = 256, 30_000, 500_000, 900_000, 1_000_000
 #: Bytes of text that are handled at once.
 BLOCK = 4_000_000
-_CODECS: dict[tuple[str, str], "Codec"] = {}
 
 #: a: the word's tokens so far. Each round unnests them to rows, joins neighbours with the merge table and contracts one pair a word.
 MERGE_SQL = """
@@ -52,9 +53,10 @@ DECODE_SQL = "SELECT d, unhex(array_to_string(list(h ORDER BY pos), '')) AS raw
 
 def codec(path: str, pattern: str) -> "Codec":
     """One codec per Python worker, file and pattern."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    codecs = held("byte_bpe")
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = Codec(path, pattern)
+    return codecs[path, pattern]
 
 
 class Codec:
@@ -71,7 +73,7 @@ class Codec:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.decimal = [str(i) for i in range(size)]
         pairs = [(a << 20 | b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"modloom-duckdb-{os.getpid()}")})  # spills of one worker, which no other reads
         self.db.register("given", pa.table({"ab": pa.array([p[0] for p in pairs], pa.int64()), "r": pa.array([p[1] for p in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given ORDER BY ab")
         self.db.register("given", pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "h": pa.array([b.hex() for b in self.bytes_of.values()])}))
@@ -211,16 +213,6 @@ class Codec:
         return [b"".join(x) for x in out]
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about BLOCK bytes of text."""
-    ends = np.cumsum(np.array([len(t) for t in batch.column(1).to_pylist()], np.int64))
-    i = 0
-    while i < len(batch):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK)))
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
     ship(docs.sparkSession)
@@ -229,9 +221,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from modloom.llm.byte_bpe import codec
 
-        c = codec(path, pattern)
-        for b in batches:
-            for some in blocks(b):
+        c = None
+        for b in lean("byte_bpe", batches):
+            c = c or codec(path, pattern)
+            for some in text_blocks(b, 1, BLOCK):
                 c.prepare(some.column(1).to_pylist())
                 ids = c.encode(some.column(1).to_pylist())
                 back = c.decode(ids)

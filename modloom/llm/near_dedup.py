@@ -6,8 +6,9 @@
    link by their sizes, or whose sketches' XOR count puts them MARGIN standard errors below the threshold, go; the rest is
    confirmed on the full sets.
 3. Buckets that these links leave in several components are settled exactly: their members outside the largest component
-   meet all members in tiles of bounded size, where a union-find tests pairs of different components, most similar first.
-   So no candidate pair is given up, and a group of copies costs as many tests as it has members.
+   meet all members in tiles of bounded size. Sketches and sizes alone go first and tell which members have a possible
+   partner in another component; only those come again with their full sets, and a union-find tests their pairs, most
+   similar first. So no candidate pair is given up, and a group of copies costs as many tests as it has members.
 4. Components by label propagation; the smallest doc_id of each stays.
 
 With 24 bands of 5 rows a pair at the threshold of 0.85 is missed with a probability below 1e-6; above it, less.
@@ -31,14 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, ship, text_of
-from .components import components
+from .common import discard, held, lean, materialise, ship, text_blocks, text_of
+from .components import components, spread_join
 from .shingles import mixed, shingles, word_hashes
 
 BANDS, ROWS, BITS = 24, 5, 512
 SAMPLES = BANDS * ROWS
-#: Standard errors below the threshold at which a sketch rules a pair out; members of a tile's side; edges of a pivot that share a copy of its set.
-MARGIN, TILE, SHARE, SALTS = 6.0, 512, 256, 16
+#: Standard errors below the threshold at which a sketch rules a pair out; members of a tile's side, and shingles of all of them together; edges
+#: of a pivot that share a copy of its set; tasks that a bucket's members are dealt over.
+MARGIN, TILE, TILE_SHINGLES, SHARE, SALTS = 6.0, 512, 1 << 18, 256, 16
 _rng = np.random.default_rng(8)
 _A = (_rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
@@ -75,9 +77,10 @@ def most_bits(threshold: float) -> int:
     return int(np.ceil(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - least) / BITS))))
 
 
-def _sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
-    for i in range(0, len(texts), 500):
-        words, counts = word_hashes([t.encode() for t in texts[i : i + 500]])
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    """The shingle set of every row's text (column 1), by blocks of bounded size."""
+    for some in text_blocks(batch, 1):
+        words, counts = word_hashes([t.encode() for t in some.column(1).to_pylist()])
         ends = np.cumsum(counts)
         for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
             yield np.unique(shingles(words[a:b], k))
@@ -90,9 +93,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from modloom.llm import near_dedup as nd
 
-        for b in batches:
+        for b in nd.lean("near_dedup", batches):
             n, digest, keys, sketch = [], [], [], []
-            for h in nd._sets(b.column(1).to_pylist(), k):
+            for h in nd._sets(b, k):
                 s = nd.samples(h) if len(h) else None
                 n.append(len(h))
                 digest.append(None if s is None else hashlib.md5(h.tobytes()).digest())
@@ -112,9 +115,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from modloom.llm import near_dedup as nd
 
-        for b in batches:
-            h = list(nd._sets(b.column(1).to_pylist(), k))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["digest", "hashes"])
+        for b in nd.lean("near_dedup", batches):
+            for some in text_blocks(b, 1):  # sets take more room than texts: small batches
+                h = list(nd._sets(some, k))
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["digest", "hashes"])
 
     made = d.mapInArrow(build, "digest binary, hashes array<long>")
     # repeated rows, and texts of equal hashes: keep the wanted ones, once each
@@ -151,8 +155,31 @@ def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: i
     return links, shared_keys
 
 
+def _apart(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> np.ndarray:
+    """XOR counts of all pairs of two sides; a large number where the sizes rule a link out."""
+    sa, sb = np.stack(list(a.sketch)).astype(np.int64), np.stack(list(b.sketch)).astype(np.int64)
+    na, nb = a.n.to_numpy(np.int64), b.n.to_numpy(np.int64)
+    out = np.empty((len(a), len(b)), np.int32)
+    for i in range(len(a)):
+        out[i] = np.bitwise_count(sa[i] ^ sb).sum(1)
+        out[i][np.minimum(na[i], nb) * 100 < np.maximum(na[i], nb) * percent] = BITS + 1
+    return out
+
+
+def possible(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a tile (side 0: outside the largest component, 1: all; digest, label, n, sketch) with a possible partner in another component."""
+    rows = rows.drop_duplicates(["side", "digest"])
+    a, b = rows[rows.side == 0], rows[rows.side == 1]
+    if not len(a) or not len(b):
+        return rows[:0]
+    names = {x: i for i, x in enumerate(set(rows.label))}
+    la, lb = a.label.map(names).to_numpy(), b.label.map(names).to_numpy()
+    may = (_apart(a, b, percent) <= most_bits(percent / 100)) & (la[:, None] != lb[None, :])
+    return pd.concat([a[may.any(1)], b[may.any(0)]])
+
+
 def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that join the components of one tile: rows of side (0: outside the largest component, 1: all), digest, label, sketch, hashes."""
+    """Links that join the components of one tile: rows as in possible(), with the full sets (hashes)."""
     bits = most_bits(percent / 100)
     up: dict[bytes, bytes] = {}
 
@@ -163,12 +190,9 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
 
     rows = rows.drop_duplicates(["side", "digest"])
     a, b = rows[rows.side == 0], rows[rows.side == 1]
-    sa, sb = np.stack(list(a.sketch)).astype(np.int64), np.stack(list(b.sketch)).astype(np.int64)
-    ha, hb = [np.sort(x) for x in a.hashes], [np.sort(x) for x in b.hashes]
+    ha, hb = list(a.hashes), list(b.hashes)  # sorted as they are made
     la, lb, da, db = list(a.label), list(b.label), list(a.digest), list(b.digest)
-    apart = np.empty((len(a), len(b)), np.int32)
-    for i in range(len(a)):
-        apart[i] = np.bitwise_count(sa[i] ^ sb).sum(1)
+    apart = _apart(a, b, percent)
     found = []
     order = np.argsort(apart, axis=None, kind="stable")
     for at in order[: int(np.searchsorted(apart.ravel()[order], bits, side="right"))].tolist():
@@ -176,8 +200,6 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
         if root(la[i]) == root(lb[j]):
             continue
         x, y = ha[i], hb[j]
-        if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
-            continue
         shared = len(np.intersect1d(x, y, assume_unique=True))
         if shared * 100 >= (len(x) + len(y) - shared) * percent:
             up[root(la[i])] = root(lb[j])
@@ -188,30 +210,41 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
 def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
     """Further links (a, b) within buckets of three or more members that lie in several components."""
     named = members.select("key", "digest", "members").filter("members > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    named = materialise(named.select("key", "digest", "label", "members"))
-    per = named.groupBy("key", "label").agg(F.count("digest").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
-    keys = per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > most")
+    named = materialise(named.join(classes.select("digest", "n"), "digest").select("key", "digest", "label", "members", "n"))
+    per = named.groupBy("key", "label").agg(F.count("digest").alias("c"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    keys = per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"), F.sum("n").alias("n"), F.max_by("n", F.struct("c", "label")).alias("n_main"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > most")
+
+    def tiles_of(members: Column, n: Column) -> Column:
+        return F.greatest(members / TILE + 1, n / TILE_SHINGLES + 1).cast("int")
+
     # buckets of equal members are settled once
-    keys = keys.groupBy("x", "y", "members").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("k")).select("k.key", "k.main", (F.col("members") / TILE + 1).cast("int").alias("nb"), ((F.col("members") - F.col("k.most")) / TILE + 1).cast("int").alias("na"))
+    keys = keys.groupBy("x", "y", "members").agg(F.min_by(F.struct("key", "main", "most", "n", "n_main"), "key").alias("k"))
+    keys = keys.select("k.key", "k.main", tiles_of(F.col("members"), F.col("k.n")).alias("nb"), tiles_of(F.col("members") - F.col("k.most"), F.col("k.n") - F.col("k.n_main")).alias("na"))
     keys = materialise(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     m = named.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(keys, ["key", "salt"])
     h = F.xxhash64("digest", F.lit(7))
     side_b = m.select("key", "digest", "label", F.lit(1).alias("side"), F.pmod(h, F.col("nb")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"))
     side_a = m.filter("label <> main").select("key", "digest", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), F.pmod(h, F.col("na")).cast("int").alias("ta"))
-    tiles = materialise(side_a.unionByName(side_b))
-    wanted = tiles.select("digest").distinct().join(classes.select("digest", "doc_id", "tie", "sketch"), "digest")
-    wanted = materialise(wanted)
-    sets = full_sets(docs, wanted, k).join(wanted.select("digest", "sketch"), "digest")
+    tiles = side_a.unionByName(side_b).join(classes.select("digest", "n", "sketch"), "digest")
+    schema = "key long, ta int, tb int, side int, digest binary, label binary, n long, sketch array<long>"
+
+    def screen(pdf: pd.DataFrame) -> pd.DataFrame:
+        from modloom.llm import near_dedup as nd
+
+        nd.held("near_dedup")
+        return nd.possible(pdf, percent)[["key", "ta", "tb", "side", "digest", "label", "n", "sketch"]]
+
+    screened = materialise(tiles.groupBy("key", "ta", "tb").applyInPandas(screen, schema))
+    wanted = materialise(screened.select("digest").distinct().join(classes.select("digest", "doc_id", "tie"), "digest"))
+    sets = full_sets(docs, wanted, k)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from modloom.llm import near_dedup as nd
 
-        if pdf.side.nunique() < 2:
-            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
         return pd.DataFrame(nd.settle(pdf, percent), columns=["a", "b"])
 
-    links = materialise(tiles.join(sets, "digest").groupBy("key", "ta", "tb").applyInPandas(run, "a binary, b binary"))
-    discard(named, keys, tiles, wanted)
+    links = materialise(screened.join(sets, "digest").groupBy("key", "ta", "tb").applyInPandas(run, "a binary, b binary"))
+    discard(named, keys, screened, wanted)
     return links
 
 
@@ -230,24 +263,32 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
         discard(labels)
         labels = components(first.union(more))
     discard(first, more)
-    named = classes.select("digest", "doc_id", "tie").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    ids = named.groupBy("label").agg(least["doc_id"].alias("component_id"), least["tie"].alias("first_tie"))
-    named = named.join(ids, "label").select("digest", "label", "component_id", "first_tie")
-    out = sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles")).join(named, "digest", "left")
+    # classes without a link are components of their own; the others' components may be large, so the joins are spread
+    made: list[DataFrame] = []
+    linked = classes.select("digest", "doc_id", "tie").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    ids = linked.filter("label IS NOT NULL").groupBy("label").agg(least["doc_id"].alias("component_id"), least["tie"].alias("first_tie"))
+    named = spread_join(linked, ids, "label", "digest", "left", made=made)
+    alone = F.col("label").isNull()
+    named = materialise(named.select("digest", F.coalesce("label", "digest").alias("label"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("tie")).otherwise(F.col("first_tie")).alias("first_tie")))
+    out = spread_join(sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles")), named, "digest", "tie", "left", F.xxhash64("doc_id", "tie"), made)
     own = F.coalesce("component_id", "doc_id")
     # where all ids of a group are null, its least text is the one kept
     kept = F.col("doc_id").eqNullSafe(own) & (own.isNotNull() | F.col("first_tie").isNull() | (F.col("tie") == F.col("first_tie")))
-    return out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
+    out = materialise(out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept")))
+    discard(sig, classes, labels, named, *made)
+    return out
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     """One row of each group, with all columns: that of the smallest doc_id. Rows without words stay, repeated ones once."""
-    g = materialise(grouped(docs, percent, k).select("doc_id", "tie", "label"))
+    g = grouped(docs, percent, k)
     first = g.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("w")).select("w.doc_id", "w.tie")
-    stay = first.union(g.filter("label IS NULL").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("__modloom_id"), F.col("tie").alias("__modloom_tie"))
-    d = docs.withColumn("__modloom_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = d.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__modloom_id")) & (F.col("__modloom_hash") == F.col("__modloom_tie")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__modloom_hash"]).drop("__modloom_hash")
+    # a null id is told from 0 by a column of its own, so that join and dropDuplicates share one exchange of the texts
+    key = ["__modloom_id", "__modloom_null", "__modloom_tie"]
+    names = {key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), key[1]: F.col("doc_id").isNull()}
+    stay = first.union(g.filter("label IS NULL").select("doc_id", "tie")).distinct().withColumns(names | {key[2]: F.col("tie")}).select(*key)
+    d = docs.withColumns(names | {key[2]: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return d.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Three base patterns give spans (leftmost, non-overlapping per kind). A fourth kind, `opaque`, proposes long mixed strings
 that no base span touches. Every value is hashed; hashes are aggregated by distinct owners and repositories over the whole
-corpus. A value held by few owners is live-looking (`live`), one that many owners carry is a copied example (`example`).
-Base spans stay whatever their class; an opaque span is added only where its value is live-looking.
+corpus. A value that at least EXAMPLE_OWNERS owners carry is a copied example (`example`). Of the owner-specific ones, a value
+that does not look live (short, of few different characters, or holding a placeholder's word) is a `dummy`; one that stands in
+at least SHARED_REPOS repositories for each of its owners is `shared` (an owner's credential in many places); the rest is `live`.
+Base spans stay whatever their class; an opaque span is added only where its value is live or shared.
 
 Positions come from the pieces between matches: the start of match i is the length of all pieces and matches before it,
 summed in blocks so that texts with very many matches stay cheap.
@@ -26,8 +28,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
-#: Values that at least so many owners hold are copied examples.
-EXAMPLE_OWNERS = 3
+#: Values that at least so many owners hold are copied examples; repositories for each owner that make a value a shared one.
+EXAMPLE_OWNERS, SHARED_REPOS = 3, 20
+#: Words of placeholders; characters, and different ones, of a value that looks live.
+PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567"
+LIVE_LENGTH, LIVE_DISTINCT = 8, 5
 BLOCK, SALTS = 128, 16
 SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
@@ -74,11 +79,17 @@ def _spans(text: Column) -> Column:
     return F.transform(F.array(F.struct(found.alias("base"), more.alias("more"))), lambda x: F.concat(x["base"], F.filter(x["more"], lambda r: ~F.exists(x["base"], lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))[0]
 
 
-def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def _looks_live(value: Column) -> Column:
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    return (F.length(value) >= LIVE_LENGTH) & (distinct >= LIVE_DISTINCT) & ~value.rlike(PLACEHOLDER)
+
+
+def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """Per row of docs: doc_id, tie (hash of its text), spans (kind, start, end, value, n_owners, n_repos, class), ordered by start and kind."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # what the patterns find is written once and read by the counts and the join; the result reads it, so it stays until the end
     rows = materialise(d.select("doc_id", "owner", "repo", F.xxhash64("text").alias("tie"), _spans(F.col("text")).alias("found")))
     hits = rows.filter(F.size("found") > 0)
     each = hits.select("doc_id", "tie", "owner", "repo", F.explode("found").alias("s")).withColumn("hash", F.sha2("s.value", 256))
@@ -92,8 +103,8 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", e
         .distinct()
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int"))
         .join(salted, ["hash", "salt"])
-        .withColumn("class", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live"))
-        .filter((F.col("s.kind") < 3) | (F.col("class") == "live"))
+        .withColumn("class", F.when(F.col("n_owners") >= example_owners, "example").when(~_looks_live(F.col("s.value")), "dummy").when(F.col("n_repos") >= shared_repos * F.col("n_owners"), "shared").otherwise("live"))
+        .filter((F.col("s.kind") < 3) | F.col("class").isin("live", "shared"))
     )
     per_doc = judged.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "n_owners", "n_repos", "class"))).alias("spans"))
     out = rows.select(F.col("doc_id"), F.col("tie")).alias("r").join(per_doc.alias("p"), F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.tie") == F.col("p.tie")), "left")
@@ -117,12 +128,16 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(_listed(F.filter("s", lambda r: r["kind"] < 3)), 256).alias("base_sha256"),
         _listed(F.col("s")).alias("spans"),
         n(lambda r: r["class"] == "live").alias("n_live"),
+        n(lambda r: r["class"] == "shared").alias("n_shared"),
+        n(lambda r: r["class"] == "dummy").alias("n_dummy"),
         n(lambda r: r["class"] == "example").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("s", lambda r: r["n_owners"])), F.lit(0).cast("long")).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("s", lambda r: r["n_repos"])), F.lit(0).cast("long")).alias("most_repos"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced in its text: <secret> for live-looking values, <example> for copied ones; all rows and columns stay, n_chars follows."""
+    """docs with every span replaced in its text: <secret> for live and shared values, <example> for copied ones and dummies; all rows and columns stay, n_chars follows."""
     found = scan(docs).filter(F.col("spans").isNotNull()).dropDuplicates(["doc_id", "tie"])
     f = found.select(F.col("doc_id").alias("__modloom_id"), F.col("tie").alias("__modloom_tie"), F.col("spans").alias("__modloom_spans"))
     d = docs.withColumn("__modloom_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
@@ -131,7 +146,7 @@ def redact(docs: DataFrame) -> DataFrame:
     first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")).cast(kind)
 
     def step(a: Column, r: Column) -> Column:
-        tag = F.when(r["class"] == "live", F.lit("<secret>")).otherwise(F.lit("<example>"))
+        tag = F.when(r["class"].isin("live", "shared"), F.lit("<secret>")).otherwise(F.lit("<example>"))
         cut = F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), (r["start"] - a["pos"]).cast("int")), tag)
         return F.when(r["start"] < a["pos"], F.struct(F.greatest(a["pos"], r["end"]).alias("pos"), a["out"].alias("out"))).otherwise(F.struct(r["end"].alias("pos"), cut.alias("out"))).cast(kind)
 
@@ -161,11 +176,16 @@ base AS (SELECT * FROM s WHERE (kind = 0 AND length(v) >= 6) OR (kind = 1 AND le
 more AS (SELECT * FROM s WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
   AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = s.doc_id AND x.a < s.b AND s.a < x.b)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-f AS (SELECT v, count(DISTINCT owner) AS n_owners FROM cand GROUP BY v),
-j AS (SELECT c.*, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || a || ':' || b AS said, n_owners >= 3 AS ex FROM cand c JOIN f USING (v) WHERE kind < 3 OR n_owners < 3),
+f AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT doc_id) AS n_repos FROM cand GROUP BY v),
+k AS (SELECT v, n_owners, n_repos, CASE WHEN n_owners >= 3 THEN 'example'
+  WHEN length(v) < 8 OR len(list_distinct(string_split(v, ''))) < 5 OR regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567') THEN 'dummy'
+  WHEN n_repos >= 20 * n_owners THEN 'shared' ELSE 'live' END AS class FROM f),
+j AS (SELECT c.*, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || a || ':' || b AS said, n_owners, n_repos, class FROM cand c JOIN k USING (v) WHERE kind < 3 OR class IN ('live', 'shared')),
 p AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  coalesce(string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, string_agg(said, ',' ORDER BY a, kind) AS spans, count(*) FILTER (NOT ex) AS n_live, count(*) FILTER (ex) AS n_example FROM j GROUP BY doc_id)
+  coalesce(string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, string_agg(said, ',' ORDER BY a, kind) AS spans, count(*) FILTER (class = 'live') AS n_live,
+  count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'dummy') AS n_dummy, count(*) FILTER (class = 'example') AS n_example, max(n_owners) AS most_owners, max(n_repos) AS most_repos FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_dummy, 0) AS n_dummy, coalesce(n_example, 0) AS n_example,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN p USING (doc_id)
 """

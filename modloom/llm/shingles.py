@@ -6,6 +6,8 @@ a random number of the byte times one of its place, modulo 2**64, finished by mi
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 U = np.uint64
@@ -14,6 +16,7 @@ _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BREAK = re.compile(rb"[ \t\n\v\f\r]")
 #: Everything in ASCII but letters and digits.
 _MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -28,8 +31,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _PLACE = mixed(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in a row, and the number of words of each text. With marks, ASCII punctuation parts words too."""
+#: Bytes of one text that are hashed at once; more where a word crosses the end.
+PART = 1 << 20
+
+
+def word_hashes(texts: list[bytes], marks: bool = False, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in a row, and the number of words of each text. With marks, ASCII punctuation parts words too.
+
+    Long texts are hashed part by part, cut before white space, so that only the hashes grow with the text."""
+    if max(map(len, texts), default=0) <= part:
+        return _word_hashes(texts, marks)
+    found, counts = [], []
+    for t in texts:
+        n, at = 0, 0
+        while at < len(t):
+            end = min(len(t), at + part)
+            while end < len(t) and not (m := _BREAK.search(t, end, end + part)):
+                end = min(len(t), end + part)
+            if end < len(t):
+                end = m.start()
+            h, c = _word_hashes([t[at:end]], marks)
+            found.append(h)
+            n += int(c[0])
+            at = end
+        counts.append(n)
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.array(counts, np.int64)
+
+
+def _word_hashes(texts: list[bytes], marks: bool) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)

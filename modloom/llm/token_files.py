@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, ship, text_of
+from .common import lean, partitions, shared_dir, ship, text_blocks, text_of
 
+#: Bytes of text that are encoded at once.
+ENCODE_BLOCK = 3_000_000
 SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
 
 
@@ -44,14 +46,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from modloom.llm.word_pieces import blocks, encoder
+        from modloom.llm.word_pieces import encoder
 
-        enc, part, at = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in blocks([len(t) for t in texts]):  # small output batches, as ids take more room than text
-                some = b.slice(i, j - i)
-                raw = [x + end for x in enc.encode(texts[i:j])]
+        enc, part, at = encoder(tokenizer_path, "token_files"), TaskContext.get().partitionId(), 0
+        for b in lean("token_files", batches):
+            for some in text_blocks(b, 1, ENCODE_BLOCK):  # small output batches, as ids take more room than text
+                raw = [x + end for x in enc.encode(some.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in raw], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -6,8 +6,8 @@ ends with the text), and the text's score is that of its strongest window. A wor
 character-level parts: signed likelihood-ratio evidence of the word and of its character n-grams, shape features, and
 trained embeddings of both (hashed). Evidence is cross-fitted during training, so that the network sees it as on new texts.
 
-Training uses at most TRAIN_ROWS labelled rows (least hash of doc_id first) of at most TRAIN_CHARS characters each, by
-multiple-instance rounds: score all windows, then fit the strongest window of every row. Model and tables have a fixed size.
+Training uses at most TRAIN_ROWS labelled rows (least hash of doc_id first) of at most TRAIN_CHARS characters each and
+TRAIN_BYTES together, by multiple-instance rounds: score all windows, then fit the strongest window of every row. Model and tables have a fixed size.
 
 Defined results: a null text counts as empty and scores as a window without words; without labels of both kinds every
 score is 0; null labels are not learnt from; repeated rows are kept; an empty table gives no rows; labels, lang, source
@@ -22,19 +22,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import lean, ship, text_blocks, trim
 
 WINDOW, STRIDE = 32, 16
-TRAIN_ROWS, TRAIN_CHARS = 3000, 200_000
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_BYTES = 3000, 200_000, 24_000_000
 HIDDEN, ATTENTION, EMBED = 8, 8, 4
 #: Buckets of the evidence tables and of the embeddings; lengths of character n-grams.
 EVIDENCE, BUCKETS, GRAMS = 1 << 18, 1 << 12, (3, 4, 5)
 #: Most characters of a word; words hashed at once.
 PIECE, HASHED = 64, 1 << 14
+#: Bytes of text that are scored at once.
+SCORE_BLOCK = 2_000_000
 #: Rounds of choosing windows; windows fitted in each round (as many epochs as they make, 2 to 16).
 FOLDS, ROUNDS, FITTED, BATCH = 4, 3, 6000, 128
 THRESHOLD = 0.3
@@ -256,21 +258,14 @@ def window_scores(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, firs
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     if not model.p:
         return np.full(len(texts), model.prior)
-    out = np.empty(len(texts))
-    i = 0
-    while i < len(texts):  # blocks of bounded size, whole texts
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
-            size += len(texts[j])
-            j += 1
-        known, ids, sizes = _numbered(texts[i:j])
-        doc, first, n = windows(sizes)
-        x = np.concatenate([model.inputs(hashed(known[a : a + HASHED])) for a in range(0, len(known), HASHED)])
-        s = window_scores(model.p, x, ids, first, n)
-        best = np.maximum.reduceat(s, np.searchsorted(doc, np.arange(j - i)))
-        out[i:j] = _sig(best.astype(np.float64))
-        i = j
-    return out
+    if not texts:
+        return np.zeros(0)
+    known, ids, sizes = _numbered(texts)
+    doc, first, n = windows(sizes)
+    x = np.concatenate([model.inputs(hashed(known[a : a + HASHED])) for a in range(0, len(known), HASHED)])
+    s = window_scores(model.p, x, ids, first, n)
+    best = np.maximum.reduceat(s, np.searchsorted(doc, np.arange(len(texts))))
+    return _sig(best.astype(np.float64))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -342,13 +337,17 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled rows outside the held-out quarter."""
     order = F.xxhash64(F.col("doc_id").cast("long"))
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
-    some = some.orderBy(order, "toxic").limit(rows)  # at most `rows` rows, so broadcasting them is bounded
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= chars)
-    got = d.join(F.broadcast(some), "doc_id").orderBy(order, "toxic", F.xxhash64("text")).limit(rows).collect()
+    # the rows of least hash that have a label and a text, found from ids and sizes; labels without a text take no place
+    sized = d.select("doc_id", F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size")).join(some, "doc_id").orderBy(order, "toxic", "tie").limit(rows)
+    w = Window.orderBy(order, "toxic", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sized.withColumn("all", F.sum(F.col("size").cast("long")).over(w)).filter(F.col("all") <= most_bytes)  # at most `rows` rows
+    got = d.withColumn("tie", F.xxhash64("text")).join(F.broadcast(sized.select("doc_id", "tie", "toxic")), ["doc_id", "tie"]).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["tie"]))
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
@@ -360,15 +359,18 @@ def add_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size, about 2.5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(sent.value, texts), pa.float64())], [*b.schema.names, name])
+        for b in lean("toxicity", batches):
+            for some in text_blocks(b, at, SCORE_BLOCK):
+                texts = [t or "" for t in some.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(score_texts(sent.value, texts), pa.float64())], [*some.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels))
+    model = fit(*training_rows(docs, labels))
+    trim()
+    return model
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

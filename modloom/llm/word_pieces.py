@@ -8,22 +8,22 @@ as a whole, as special strings are matched before anything else.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-
 import numpy as np
 
+from .common import held
+
 #: ASCII punctuation that forms one run of its own after a letter or digit (no apostrophe: that may bind letters).
 TAIL = '.,!?;:%$&*#"()[]{}+=/\\|~^@`'
 #: Entries kept before the cache starts anew; about 220 bytes each.
 MAX_ENTRIES = 1_200_000
-_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-def encoder(path: str) -> "WordEncoder":
-    """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, operator: str) -> "WordEncoder":
+    """One encoder per Python worker, operator and file."""
+    encoders = held(operator)
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 class WordEncoder:
@@ -116,15 +116,3 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         return self.encode([text])[0]
-
-
-def blocks(sizes: list[int], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most about `most` characters; a larger row stands alone."""
-    i = 0
-    while i < len(sizes):
-        j, n = i + 1, sizes[i]
-        while j < len(sizes) and n + sizes[j] <= most:
-            n += sizes[j]
-            j += 1
-        yield i, j
-        i = j

@@ -1,6 +1,7 @@
 """Nearest neighbours by the pruned graph against brute force."""
 
 import numpy as np
+import pytest
 
 from modloom.llm import ann_graph
 
@@ -35,3 +36,32 @@ def test_odd_vectors(spark):
     few = df.filter("vec_id in (0, 7)")
     assert [r["vec_id"] for r in ann_graph.search(ann_graph.index(few), few.filter("vec_id = 0")).collect()] == [7]
     assert ann_graph.search(ann_graph.index(df.limit(0)), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1e20, 0.0), (1e-30, 0.0), (1.0, 1e4), (1e200, 0.0)])
+def test_recall_at_any_scale_and_offset(scale, offset):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((600, 8)) + offset) * scale
+    centre, size = ann_graph.scaling(x)
+    inner = ann_graph.scaled(x, centre, size)
+    graph, start = ann_graph.build(inner)
+    asked = x[::50] * (1 + 1e-9)
+    found, _ = ann_graph.beam_search(inner, graph, start, ann_graph.scaled(asked, centre, size), 96)
+    hits = []
+    for q, f in zip(asked, found, strict=True):
+        d = np.sqrt((((x - q) / scale) ** 2).sum(1))
+        assert np.allclose(ann_graph.euclidean(x, q) / scale, d, rtol=1e-9)
+        hits.append(len(set(f[:10].tolist()) & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_far_queries_end_and_far_clusters_are_told_apart():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((300, 8)) + 1e4, rng.standard_normal((300, 8)) - 1e4])
+    graph, start = ann_graph.build(ann_graph.scaled(x, *ann_graph.scaling(x)))
+    inner = ann_graph.scaled(x, *ann_graph.scaling(x))
+    found, _ = ann_graph.beam_search(inner, graph, start, ann_graph.scaled(x[::60], *ann_graph.scaling(x)), 96)
+    want = [set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist()) for q in x[::60]]
+    assert np.mean([len(set(f[:10].tolist()) & w) / 10 for f, w in zip(found, want, strict=True)]) >= 0.9
+    far, _ = ann_graph.beam_search(inner, graph, start, ann_graph.scaled(np.full((3, 8), 1e300), *ann_graph.scaling(x)), 96)
+    assert (far >= 0).any()

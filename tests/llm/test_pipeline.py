@@ -33,5 +33,6 @@ def test_stages(spark, tmp_path):
     assert not {1000, 1001} & seen[1] and seen[0] - seen[1] <= {1000, 1001, 1, 2}
     assert seen[1] - seen[2] == {1002}
     assert seen[3] == seen[2] == seen[4] and {1004, 1005} <= seen[4]
-    assert corpus_pipeline.run(spark, d).count() == len(seen[4])
+    done = {r["doc_id"]: r for r in corpus_pipeline.run(spark, d).collect()}
+    assert set(done) == seen[4] and "<secret>" in done[1003]["text"] and len(done[1003]["ids"]) == done[1003]["n_tokens"]
     assert toxicity.THRESHOLD == 0.3
