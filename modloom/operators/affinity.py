@@ -1,5 +1,8 @@
 """Affinities of points: exact nearest neighbours and kernels. points: (id, features).
 
+Defined results: points without features, or with a null or NaN among them, take no part; equal points are neighbours at distance 0;
+ties go to the smaller id; an empty table gives no rows; further columns are ignored.
+
 All pairs are met block by block: points are packed into blocks of bounded size, every block meets every other in one row,
 numpy computes the block's distances and only the best of each row leave it. So the n**2 work is done in matrix products,
 is dealt evenly, and never becomes n**2 rows.
@@ -20,7 +23,12 @@ from ..shipping import ship
 BLOCK = 1024
 
 
+def usable(points: DataFrame) -> DataFrame:
+    return points.filter(F.coalesce(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("features") > 0), F.lit(False)))
+
+
 def _blocks(points: DataFrame, extra: list[str]) -> tuple[DataFrame, int]:
+    points = usable(points)
     n = -(-points.count() // BLOCK) or 1
     rows = F.sort_array(F.collect_list(F.struct("id", "features", *extra)))
     return points.withColumn("block", (key("id", 11) % n).cast("int")).groupBy("block").agg(rows.alias("rows")), n
@@ -133,13 +141,16 @@ def moments(points: DataFrame) -> DataFrame:
     pairs = points.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.transform(F.sequence(i, dims - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.element_at("features", i + 1) * F.element_at("features", j + 1)).alias("p")))))).alias("c"))
     s = pairs.groupBy("c.i", "c.j").agg(F.sum("c.p").alias("gram"), F.count("c.p").alias("n"))
     s = s.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("m").alias("mj")), "j")
-    return s.select("i", "j", ((F.col("gram") - F.col("n") * F.col("m") * F.col("mj")) / (F.col("n") - 1)).alias("covariance"), "gram")
+    return s.select("i", "j", ((F.col("gram") - F.col("n") * F.col("m") * F.col("mj")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"), "gram")
 
 
 def pca(points: DataFrame, k: int) -> DataFrame:
     """(id, projected): centred, onto the k leading eigenvectors of the covariance (signs: largest component positive)."""
     ship(points.sparkSession)
+    points = usable(points)
     rows = moments(points).collect()  # dims**2 / 2 numbers
+    if not rows:
+        return points.select("id", F.array().cast("array<double>").alias("projected")).limit(0)
     d = max(r["i"] for r in rows) + 1
     c = np.zeros((d, d))
     for r in rows:

@@ -1,4 +1,8 @@
-"""Initial assignments, label tables and their conversions."""
+"""Initial assignments, label tables and their conversions.
+
+Defined results: a null label stays null and is no class of its own; ids are taken as unique; an empty table gives no rows; further
+columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import key
+from ..plans.tables import materialise
 
 
 def ranked(nodes: DataFrame, seed: int) -> DataFrame:
-    """nodes with rank (from 1) in the order of a keyed number: a permutation that any partitioning reproduces."""
-    return nodes.withColumn("rank", F.row_number().over(Window.orderBy(key("id", seed), "id")))
+    """(id, rank), from 1, in the order of a keyed number: a permutation that any partitioning reproduces.
+
+    Ranges of the number are ranked each on its own and moved up by the rows of the ranges before, so no task takes all rows."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(nodes.select("id", key("id", seed).alias("key")).repartitionByRange(n, "key", "id").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.count("id").alias("rows"))  # a row for each range
+    before = sums.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("key", "id"))
+    return dealt.withColumn("own", own).join(before, "part").select("id", (F.col("own") + F.col("before")).alias("rank"))
 
 
 def init_equal(nodes: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -52,14 +64,14 @@ def init_overlay(labels: DataFrame, k: int, per_class: int = 1, seed: int = 7) -
 
 def standard_labels(labels: DataFrame, col: str = "label") -> DataFrame:
     """Labels replaced by their place among the distinct values, from 0; the distinct values alone are ranked."""
-    codes = labels.select(col).distinct().withColumn("code", F.row_number().over(Window.orderBy(col)) - 1)
-    return labels.join(F.broadcast(codes), col).select("id", F.col("code").cast("int").alias("label"))
+    codes = labels.select(F.col(col).alias("__of")).distinct().filter("__of IS NOT NULL").withColumn("code", F.row_number().over(Window.orderBy("__of")) - 1)
+    return labels.join(codes, labels[col] == codes["__of"], "left").select("id", F.col("code").cast("int").alias("label"))
 
 
 def binary_labels(labels: DataFrame, col: str = "label") -> DataFrame:
     """-1 for the least value, 1 for the second, 0 for any other."""
     codes = standard_labels(labels, col)
-    return codes.select("id", F.when(F.col("label") == 0, -1).when(F.col("label") == 1, 1).otherwise(0).alias("label"))
+    return codes.select("id", F.when(F.col("label") == 0, -1).when(F.col("label") == 1, 1).when(F.col("label").isNotNull(), 0).alias("label"))
 
 
 def communities(labels: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import key
 from ..operators.matrices import degrees
 from .spectral import DENSE, embedding
-from .tables import materialise
+from .tables import discard, materialise
 
 
 def move_gains(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -34,24 +35,29 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def louvain(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int = 6) -> DataFrame:
+def louvain(edges: DataFrame, gamma: float = 1.0, levels: int | None = None) -> DataFrame:
     """(id, label): rounds of moves to the best neighbouring community, by nodes of alternating keyed parity so that neighbours do
-    not swap, then contraction, until a level moves nothing."""
+    not swap, then contraction, until a level moves nothing (or for `levels` levels). A level ends when two rounds move nothing, or
+    when its labels come again: moves made at once may undo each other, and would do so for ever."""
     graph = materialise(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     whole = materialise(graph.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(levels):
+    for _ in count() if levels is None else range(levels):
+        seen: set[tuple] = set()
         labels, moved_any, still = whole.select(F.col("label").alias("id")).distinct().withColumn("label", F.col("id")), False, 0
-        labels = materialise(labels)
-        for r in range(rounds):
+        labels = kept = materialise(labels)
+        for r in count():
             best = move_gains(graph, labels, gamma).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct("gain", (-F.col("cand")).alias("o"))).alias("to"))
             new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
-            moved = new.filter("moved").limit(1).count()
-            labels = new.select("id", "label")
+            moved, a, b = new.agg(F.count_if("moved"), F.bit_xor(F.xxhash64("id", "label")), F.bit_xor(F.xxhash64("label", "id", F.lit(5)))).first()
+            discard(kept)
+            kept, labels = new, new.select("id", "label")
             moved_any |= bool(moved)
             still = 0 if moved else still + 1
-            if still == 2:
+            if still == 2 or (moved and (r % 2, a, b) in seen):
                 break
+            seen.add((r % 2, a, b))
         if not moved_any:
+            discard(kept)
             break
         whole = materialise(whole.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
         graph = materialise(contract(graph, labels))
@@ -81,6 +87,8 @@ def greedy_merge(edges: DataFrame, gamma: float = 1.0, most_pairs: int = 100_000
         base = materialise(louvain(edges, gamma, levels=1))
         edges = materialise(contract(edges, base))
         if edges.limit(2 * most_pairs + 1).count() > 2 * most_pairs:
+            if not base.filter("id <> label").limit(1).count():
+                raise ValueError("local moves do not make the graph smaller, and it is too large to be merged pair by pair")
             return greedy_merge(edges, gamma, most_pairs).join(base.withColumnRenamed("label", "via").withColumnRenamed("id", "node"), F.col("id") == F.col("via")).select(F.col("node").alias("id"), "label")
     rows = [(r["src"], r["dst"], float(r["w"])) for r in edges.collect()]
     total = sum(w for _, _, w in rows)
@@ -206,9 +214,3 @@ def spectral_kmeans(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     rows = materialise(rows)
     model = KMeans(k=k, seed=seed, maxIter=50).fit(rows)
     return canonical(model.transform(rows).select("id", F.col("prediction").alias("label")))
-
-
-def top_moves(gains: DataFrame) -> DataFrame:
-    """The best move of each node."""
-    w = Window.partitionBy("id").orderBy(F.desc("gain"), "cand")
-    return gains.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")

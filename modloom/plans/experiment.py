@@ -11,47 +11,63 @@ from pyspark.sql import functions as F
 from ..operators import labelling, metrics
 from ..operators.matrices import degrees
 from . import baselines, mbo, spectral
-from .tables import materialise
+from .tables import discard, materialise
 
 #: The twelve configurations: solver, operator, eigenvectors per class.
 CONFIGURATIONS = [(s, o, 1) for s in ("projection", "finite_difference") for o in ("lmix_sym", "lmix_rw", "lb_sym", "lb_rw")] + [("hu", o, 1) for o in ("laplacian_sym", "laplacian_rw")] + [("boyd", o, 5) for o in ("laplacian_sym", "laplacian_rw")]
-BASELINES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
-    "louvain": lambda e, k: baselines.louvain(e),
-    "cnm": lambda e, k: baselines.greedy_merge(e),
-    "girvan_newman": lambda e, k: baselines.girvan_newman(e),
-    "spectral": lambda e, k: baselines.spectral_kmeans(e, k),
+BASELINES: dict[str, Callable[[DataFrame, int, float], DataFrame]] = {
+    "louvain": lambda e, k, gamma: baselines.louvain(e, gamma),
+    "cnm": lambda e, k, gamma: baselines.greedy_merge(e, gamma),
+    "girvan_newman": lambda e, k, gamma: baselines.girvan_newman(e),
+    "spectral": lambda e, k, gamma: baselines.spectral_kmeans(e, k),
 }
-SCHEMA = "run int, algo string, operator string, n_iter int, modularity double, modularity_er double, ari double, purity double, inverse_purity double, nmi double, secs double"
+SCORES = ("modularity", "modularity_er", "ari", "purity", "inverse_purity", "nmi")
+SCHEMA = "run int, algo string, operator string, n_iter int, converged boolean, modularity double, modularity_er double, ari double, purity double, inverse_purity double, nmi double, secs double"
 
 
-def _score(edges: DataFrame, labels: DataFrame, truth: DataFrame) -> dict[str, float]:
-    return metrics.report(edges, materialise(labels.join(truth.select("id", "truth"), "id"))).first().asDict()
+def _scores(edges: DataFrame, labels: DataFrame, truth: DataFrame, gamma: float) -> dict[int, dict]:
+    """The scores of every run of labels (run, id, label)."""
+    both = materialise(labels.join(truth.select("id", "truth"), "id"))
+    out = {r["run"]: r.asDict() for r in metrics.report(edges, both, gamma, ("run",)).collect()}
+    discard(both)
+    return out
+
+
+def _starts(truth: DataFrame, k: int, repeats: int, init: str) -> DataFrame:
+    if init == "random":
+        return mbo.random_starts(truth, k, list(range(repeats)))
+    all_ = truth.select("id")
+    for run in range(repeats):
+        all_ = all_.join(labelling.init_equal(truth.select("id"), k, run).withColumnRenamed("label", f"l{run}"), "id")
+    return all_.select("id", F.array(*[f"l{run}" for run in range(repeats)]).alias("labels"))
 
 
 def run_grid(edges: DataFrame, truth: DataFrame, k: int, null: str = "ng", repeats: int = 20, configurations: Iterable[tuple[str, str, int]] = tuple(CONFIGURATIONS), others: Iterable[str] = (), gamma: float = 0.5, n_t: int = 3, tol: float = 0.0, stopping: str = "standard", init: str = "random") -> DataFrame:
-    """A row for each run. secs holds the eigen-solver, the start and the solver. truth: (id, truth)."""
+    """A row for each run; all starts of a configuration are solved and scored together. gamma is the resolution of solvers, baselines and
+    scores. secs holds the eigen-solver and an equal share of the starts and the solver. truth: (id, truth)."""
     spark, rows = edges.sparkSession, []
     edges = materialise(edges)
-    deg = materialise(degrees(edges))
+    deg, starts = materialise(degrees(edges)), materialise(_starts(truth, k, repeats, init))
     n = deg.count()
     for algo, kind, times in configurations:
         began = time.perf_counter()
         lam, v = spectral.embedding(edges, kind, min(times * k, n - 1), null)
         v = materialise(v)
         eigen = time.perf_counter() - began
-        for run in range(repeats):
-            began = time.perf_counter()
-            start = (labelling.init_equal if init == "equal" else labelling.init_random)(truth.select("id"), k, run)
-            r = mbo.solve(algo, lam, v, deg, start, k, edges=edges, tol=tol, n_t=n_t, gamma=gamma, stopping=stopping)
-            secs = eigen + time.perf_counter() - began
-            s = _score(edges, r.labels, truth)
-            rows.append((run, algo, kind, r.rounds, s["modularity"], s["modularity_er"], s["ari"], s["purity"], s["inverse_purity"], s["nmi"], secs))
+        began = time.perf_counter()
+        r = mbo.solve_many(algo, lam, v, deg, starts, k, edges=edges, tol=tol, n_t=n_t, gamma=gamma, stopping=stopping)
+        secs = eigen + (time.perf_counter() - began) / repeats
+        for run, s in sorted(_scores(edges, r.labels, truth, gamma).items()):
+            rows.append((run, algo, kind, r.rounds[run], r.converged[run], *[s[c] for c in SCORES], secs))
+        discard(v)
     for name in others:
         began = time.perf_counter()
-        labels = materialise(BASELINES[name](edges, k))
+        labels = materialise(BASELINES[name](edges, k, gamma))
         secs = time.perf_counter() - began
-        s = _score(edges, labels, truth)
-        rows.append((0, name, "-", None, s["modularity"], s["modularity_er"], s["ari"], s["purity"], s["inverse_purity"], s["nmi"], secs))
+        s = _scores(edges, labels.withColumn("run", F.lit(0)), truth, gamma)[0]
+        rows.append((0, name, "-", None, True, *[s[c] for c in SCORES], secs))
+        discard(labels)
+    discard(deg, starts, edges)
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -1,12 +1,17 @@
 """Modularity maximisation by alternating diffusion and thresholding, in the space of m eigenvectors.
 
-A node's state is its label. A round sums V'u (m x K) over the nodes in each partition, filters it on the driver and takes
-each node's largest entry of V times the result: one narrow pass, and m * K numbers for each partition reach the driver.
+A node's state is its label in each of several runs (starts): the largest entry of its row of V times a filtered m x K matrix. So a
+state is that matrix, and a round is one narrow pass over V for all runs at once, which writes nothing: it takes the labels of
+this state and of the last one, counts the moves, and sums V'u of the new labels u, which the driver filters. A partition sends
+runs * m * K numbers, whatever its nodes.
+
+A run ends when its stopping rule holds, or after max_iter rounds. A state that comes again makes the rounds periodic: then the
+state after max_iter rounds is known to be one of the period, and only the rounds up to it are made. `converged` tells which.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,16 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encoding import key
 from ..operators.metrics import modularity
 from ..shipping import ship
-from .tables import materialise
+from .tables import discard, materialise
+
+MAX_ITER = 10_000
 
 
 @dataclass
 class Result:
-    labels: DataFrame
-    rounds: int
+    labels: DataFrame  # (id, label); solve_many: (run, id, label)
+    rounds: int | list[int]
     trace: list[float]
+    converged: bool | list[bool] = True
 
 
 def time_step(max_degree: float, lam: float, n: int, k: int, gamma: float = 0.5, eps: float = 1.0) -> float:
@@ -40,42 +49,86 @@ def _one(labels: np.ndarray, k: int) -> np.ndarray:
     return u
 
 
-def _reduce(state: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums over the nodes of f(v, labels, d), an array each; one row for each partition reaches the driver."""
+def _digest(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Two 32-bit halves of an order-free hash of (id, label)."""
+    x = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((labels.astype(np.int64).view(np.uint64) + np.uint64(3)) * np.uint64(0xD1342543DE82EF95))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    t = (x ^ (x >> np.uint64(29))).sum(dtype=np.uint64)
+    return np.array([float(t >> np.uint64(32)), float(t & np.uint64(0xFFFFFFFF))])
+
+
+def _sums(v: np.ndarray, d: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int, forced: bool) -> list[np.ndarray]:
+    u = _one(labels, k)
+    more = [v.T @ (u * d[:, None]), d @ u] if forced else []
+    return [v.T @ u, *more, _digest(ids, labels)]
+
+
+Filters = list[np.ndarray | None]
+
+
+def _labels(v: np.ndarray, first: np.ndarray, filters: Filters) -> np.ndarray:
+    """A column of labels for each run; where its filter is None, those it starts from."""
+    return np.stack([first[:, r] if c is None else (v @ c).argmax(1) for r, c in enumerate(filters)], 1)
+
+
+def _round(start: DataFrame, old: Filters, new: Filters, k: int, forced: bool) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """For each run the sums of the new state over all nodes, and how many nodes have moved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: list[np.ndarray] | None = None
+        total, moved = None, np.zeros(len(new), np.int64)
         for pdf in batches:
             if len(pdf):
-                part = f(np.stack(list(pdf.v)), pdf.label.to_numpy(), pdf.d.to_numpy())
-                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+                v, d, ids, first = np.stack(list(pdf.v)), pdf.d.to_numpy(), pdf.id.to_numpy(), np.stack(list(pdf.labels))
+                now = _labels(v, first, new)
+                moved += (now != _labels(v, first, old)).sum(0)
+                part = np.stack([np.concatenate([a.ravel() for a in _sums(v, d, now[:, r], ids, k, forced)]) for r in range(len(new))])
+                total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"s": [[t.ravel().tolist() for t in total]], "shape": [[list(t.shape) for t in total]]})
+            yield pd.DataFrame({"s": [total.ravel()], "moved": [moved]})
+
+    rows = start.mapInPandas(run, "s array<double>, moved array<long>").collect()  # a row for each partition
+    flat = np.sum([r["s"] for r in rows], axis=0).reshape(len(new), -1)
+    size = flat.shape[1] - 2  # without the digest
+    m = (size - k) // (2 * k) if forced else size // k
+    shapes = [(m, k), *([(m, k), (k,)] if forced else []), (2,)]
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
+    return [[x.reshape(y) for x, y in zip(np.split(f, ends[:-1]), shapes, strict=True)] for f in flat], np.sum([r["moved"] for r in rows], axis=0)
 
-    got = state.mapInPandas(run, "s array<array<double>>, shape array<array<int>>").collect()
-    return [sum(np.array(r["s"][i]) for r in got).reshape(got[0]["shape"][i]) for i in range(len(got[0]["s"]))]
 
+def _moments(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """V'DV and V'd."""
 
-def _relabel(state: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for pdf in batches:
             if len(pdf):
-                new = f(np.stack(list(pdf.v)), pdf.label.to_numpy(), pdf.d.to_numpy()).argmax(1).astype(np.int32)
-                yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "d": pdf.d, "label": new, "moved": (new != pdf.label).astype(np.int32)})
+                v, d = np.stack(list(pdf.v)), pdf.d.to_numpy()
+                part = np.concatenate([(v.T @ (v * d[:, None])).ravel(), v.T @ d])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
 
-    return state.mapInPandas(run, "id long, v array<double>, d double, label int, moved int")
+    total = np.sum([r["s"] for r in state.select("v", "d").mapInPandas(run, "s array<double>").collect()], axis=0)
+    m = int((np.sqrt(4 * len(total) + 1) - 1) / 2)
+    return total[: m * m].reshape(m, m), total[m * m :]
 
 
-def solve(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, init: DataFrame, k: int, edges: DataFrame | None = None, tol: float = 0.0, n_t: int = 3, gamma: float = 0.5, eps: float = 1.0, max_iter: int = 50, stopping: str = "standard") -> Result:
-    """scheme: projection, finite_difference, hu or boyd. vectors: (id, v); degrees: (id, d); init: (id, label), null for none.
+def random_starts(nodes: DataFrame, k: int, seeds: list[int]) -> DataFrame:
+    """(id, labels): a uniform class for each node and seed, as labelling.init_random gives for each."""
+    return nodes.select("id", F.array(*[(key("id", s) % k).cast("int") for s in seeds]).alias("labels"))
+
+
+def solve_many(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, inits: DataFrame, k: int, edges: DataFrame | None = None, tol: float = 0.0, n_t: int = 3, gamma: float = 0.5, eps: float = 1.0, max_iter: int = MAX_ITER, stopping: str = "standard") -> Result:
+    """scheme: projection, finite_difference, hu or boyd. vectors: (id, v); degrees: (id, d); inits: (id, labels), null for none, a label for
+    each run.
 
     stopping: standard (four times the nodes that move) or modularity (of `edges`), at most tol."""
     ship(vectors.sparkSession)
     lam = np.asarray(lam, float)
-    state = vectors.join(degrees.select("id", F.col("d").cast("double").alias("d")), "id").join(init, "id").select("id", "v", "d", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
-    state = materialise(state)
-    stats = state.agg(F.max("d").alias("m"), F.count("id").alias("n"), F.sum("d").alias("t")).first()
-    n, total = stats["n"], stats["t"]
+    state = vectors.join(degrees.select("id", F.col("d").cast("double").alias("d")), "id").join(inits, "id").select("id", "v", "d", F.transform("labels", lambda x: F.coalesce(x.cast("int"), F.lit(-1))).alias("labels"))
+    start = materialise(state)
+    stats = start.agg(F.max("d").alias("m"), F.count("id").alias("n"), F.sum("d").alias("t"), F.max(F.size("labels")).alias("runs")).first()
+    n, total, runs, forced = stats["n"], stats["t"], stats["runs"], scheme == "hu"
     positive = lam[lam > 1e-9]
     # a disconnected graph has several zero eigenvalues: the first that is not counts
     pick = (lam[0] if scheme == "finite_difference" else lam[1]) if len(lam) > 1 else lam[0]
@@ -85,31 +138,72 @@ def solve(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame,
         dt /= 2 * n_t
     filters = {"projection": lambda: np.exp(-0.5 * lam * dt), "boyd": lambda: np.exp(-lam * dt), "finite_difference": lambda: 1 / (1 + dt * lam), "hu": lambda: 1 / (1 + dt * lam)}
     filt = filters[scheme]()[:, None]
+    vdv, vd = _moments(start) if forced else (None, None)
+
+    def filtered(sums: list[np.ndarray]) -> np.ndarray:
+        if not forced:
+            return filt * sums[0]
+        # inner steps in the space of the eigenvectors: w = u + sum of 2 gamma dt D (v_j - mean_j)
+        (vw, vdu, du, _), c = sums, None
+        for _ in range(n_t):
+            mean = (du if c is None else vd @ c) / total
+            vw = vw + 2 * gamma * dt * ((vdu if c is None else vdv @ c) - np.outer(vd, mean))
+            c = filt * vw
+        return c
+
+    state: Filters = [None] * runs
+    sums, _ = _round(start, state, state, k, forced)
+    seen: list[dict[tuple, int]] = [{tuple(s[-1]): 0} for s in sums]
+    last, rounds, converged, before = [max_iter] * runs, [0] * runs, [False] * runs, [0.0] * runs
     trace: list[float] = []
-    before, rounds, stop = 0.0, 0, 10.0
-    if scheme == "hu":
-        vdv, vd = _reduce(state, lambda v, y, d: [v.T @ (v * d[:, None]), v.T @ d])
-    while rounds < max_iter and stop > tol:
-        if scheme == "hu":
-            # inner steps in the space of the eigenvectors: w = u + sum of 2 gamma dt D (v_j - mean_j)
-            vu, vdu, du = _reduce(state, lambda v, y, d: [v.T @ _one(y, k), v.T @ (_one(y, k) * d[:, None]), d @ _one(y, k)])
-            vw, c = vu, None
-            for _ in range(n_t):
-                mean = (du if c is None else vd @ c) / total
-                vw = vw + 2 * gamma * dt * ((vdu if c is None else vdv @ c) - np.outer(vd, mean))
-                c = filt * vw
-        else:
-            (vu,) = _reduce(state, lambda v, y, d: [v.T @ _one(y, k)])
-            c = filt * vu
-        state = materialise(_relabel(state, lambda v, y, d, c=c: v @ c))
-        rounds += 1
-        if stopping == "modularity":
-            q = modularity(edges, state.select("id", "label"), "ng", gamma).first()[0]
-            trace.append(q)
-            stop, before = abs(q - before), q
-        else:
-            stop = 4.0 * state.agg(F.sum("moved")).first()[0]
-    return Result(state.select("id", "label"), rounds, trace)
+    live = [max_iter > 0] * runs
+    t = 0
+    while any(live):
+        new = [filtered(s) if on else c for s, on, c in zip(sums, live, state, strict=True)]
+        sums, moved = _round(start, state, new, k, forced)
+        state, t = new, t + 1
+        quality = {r["run"]: r["modularity"] for r in modularity(edges, _runs(start, state), "ng", gamma, ("run",)).collect()} if stopping == "modularity" else {}
+        if runs == 1 and quality:
+            trace.append(quality[0])
+        for r in [r for r in range(runs) if live[r]]:
+            rounds[r] = t
+            stop = abs(quality[r] - before[r]) if quality else 4.0 * moved[r]
+            before[r] = quality.get(r, 0.0)
+            if stop <= tol:
+                converged[r], live[r] = True, False
+            elif t >= last[r]:
+                rounds[r], live[r] = max_iter, False
+            elif (was := seen[r].setdefault(tuple(sums[r][-1]), t)) < t and last[r] == max_iter:
+                last[r] = t + (max_iter - t) % (t - was)  # the state after max_iter rounds
+                if last[r] == t:
+                    rounds[r], live[r] = max_iter, False
+    out = materialise(_runs(start, state))
+    discard(start)
+    return Result(out, rounds, trace, converged)
+
+
+def _runs(start: DataFrame, state: Filters) -> DataFrame:
+    """(run, id, label); -1 for none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                now = _labels(np.stack(list(pdf.v)), np.stack(list(pdf.labels)), state)
+                yield pd.DataFrame({"run": np.tile(np.arange(now.shape[1], dtype=np.int32), len(now)), "id": np.repeat(pdf.id.to_numpy(), now.shape[1]), "label": now.ravel().astype(np.int32)})
+
+    return start.mapInPandas(run, "run int, id long, label int")
+
+
+def solve(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, init: DataFrame, k: int, **kw) -> Result:
+    """solve_many for one start (id, label)."""
+    r = solve_many(scheme, lam, vectors, degrees, init.select("id", F.array("label").alias("labels")), k, **kw)
+    return Result(r.labels.select("id", "label"), r.rounds[0], r.trace, r.converged[0])
+
+
+def best(result: Result, edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(id, label) of the run of largest modularity; the first of equal ones."""
+    q = modularity(edges, result.labels, "ng", gamma, ("run",)).orderBy(F.desc(F.round("modularity", 9)), "run").limit(1)
+    return result.labels.join(F.broadcast(q.select("run")), "run").select("id", "label")  # one row
 
 
 def hu_mean(labels: DataFrame, degrees: DataFrame, k: int) -> DataFrame:

@@ -69,8 +69,7 @@ def spectrum(points: DataFrame, k: int, m: int, tau: float, kind: str = "laplaci
     ship(points.sparkSession)
     p = points.select("id", "features")
     marks = np.array([r["features"] for r in landmarks(p, k, seed).orderBy("rank").collect()])  # k rows
-    ids = [r["id"] for r in landmarks(p, k, seed).orderBy("rank").collect()]
-    k = len(ids)
+    k = len(marks)
     rows = materialise(kernel_rows(p, marks, tau, divide=kind == "classic"))
     d2 = np.maximum((marks**2).sum(1)[:, None] - 2 * marks @ marks.T + (marks**2).sum(1)[None, :], 0)
     a = np.exp(-d2 / tau if kind == "classic" else -tau * d2)
