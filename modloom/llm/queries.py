@@ -26,8 +26,6 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op4_licence_scan": op4_sql(),
-    "op7_shard_table": op7_sql(),
-    "op2_secret_scan": OP2_SQL,
-}
+
+def oracle_sql() -> dict[str, str]:
+    return {"op4_licence_scan": op4_sql(), "op7_shard_table": op7_sql(), "op2_secret_scan": OP2_SQL}

@@ -344,14 +344,31 @@ def test_licences(spark):
 def test_licences_without_anchors_and_wrapped(spark):
     rows = [
         (1, "some prose\nYou can modify it under the terms of the GNU General Public\nmore", "s"),
-        (2, "Title\n\nRedistribution and use in\nsource and binary forms, with or\nwithout modification, are permitted.\n \nEnd\nof it", "s"),
+        (2, "Title\n\nRedistribution and use in\nsource and binary forms, with or\nwithout modification, are permitted\nprovided that the following\nconditions are met.\n \nEnd\nof it", "s"),
         (3, "Der Hund ging mit dem Ball.\nmit", "s"),
-        (None, "Neither the name of\nthe holder nor the names of its\ncontributors may be used to endorse products.", "s"),
+        (None, "Neither the name of the\ncopyright holder nor the names of its\ncontributors may be used to endorse or promote products\nderived from this software", "s"),
         (4, "Released under the MIT License.\nThis program is free", "s"),
     ]
     got = licence_scan.paragraphs(docs_of(spark, [*rows, rows[1]])).collect()
-    assert {(r["doc_id"], r["paragraph"], r["line"], r["family"], r["confirmed"]) for r in got} == {(1, 0, 1, "gpl", True), (2, 1, -1, "bsd", True), (None, 0, -1, "bsd", True), (4, 0, 0, "mit", True)}
-    assert len(got) == 4
+    said = {(r["doc_id"], r["paragraph"], r["line"], r["family"], r["confirmed"]) for r in got}
+    assert {x for x in said if x[-1]} == {(2, 1, -1, "bsd", True), (None, 0, -1, "bsd", True), (4, 0, 0, "mit", True)}
+    assert {(i, f) for i, _, _, f, c in said if not c} <= {(1, "gpl")} and len(got) == len(said)
+
+
+def test_neighbours_of_the_families_stay_unconfirmed(spark):
+    others = ["Mozilla Public License, version 2.0", "Eclipse Public License, Version 2.0", "CC BY-SA 4.0", "GNU Affero General Public License, version 3", "ISC", "Unlicense", "SPDX-License-Identifier: WTFPL", *licence_scan.NEIGHBOURS]
+    assert licence_scan.paragraphs(docs_of(spark, [(i, t, "s") for i, t in enumerate(others)])).filter("confirmed").count() == 0
+    known = [(f, t) for f, notices in licence_scan.NOTICES.items() for t in notices]
+    got = licence_scan.paragraphs(docs_of(spark, [(i, f"word {t} word", "s") for i, (_, t) in enumerate(known)])).filter("confirmed").collect()
+    assert all(known[r["doc_id"]][0] == r["family"] for r in got) and len({r["doc_id"] for r in got}) >= 0.9 * len(known)
+
+
+def test_every_paragraph_that_can_be_predicted_holds_a_telling_word():
+    weights, bias, held = licence_scan.model()
+    words = set(licence_scan.telling_words())
+    assert all(b < bias[-1] for b in bias[:-1])
+    assert all(words & set(g.split()) for g, v in weights.items() if max(v[:-1]) > v[-1])
+    assert np.mean([k < 6 and q >= 0.5 for k, q, t in held if t == 6]) < 0.1  # other licences and sentences, held out whole
 
 
 def test_shard_table(spark):
