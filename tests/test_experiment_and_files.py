@@ -6,7 +6,7 @@ from modloom.sources import files, graphs
 
 def test_grid(spark):
     e, n = graphs.karate(spark)
-    runs = experiment.run_grid(e, n, 2, repeats=2, configurations=[("projection", "lmix_sym", 1)], others=["cnm"])
+    runs = experiment.run_grid(e, n, 2, repeats=2, configurations=[("projection", "lmix_sym", 1)], others=["cnm"], gamma=1.0)
     out = {r["algo"]: r for r in experiment.averages(runs).collect()}
     assert out["projection"]["runs"] == 2 and out["projection"]["modularity"] > 0.2
     assert abs(out["cnm"]["modularity"] - 0.3807) < 1e-3 and len(experiment.CONFIGURATIONS) == 12
@@ -28,7 +28,7 @@ def test_the_whole_grid_is_registered(spark, monkeypatch):
 
     def few(e, n, k, null="ng", repeats=20, configurations=tuple(experiment.CONFIGURATIONS), others=(), **rest):
         seen.append((null, repeats, list(configurations), list(others)))
-        return spark.createDataFrame([(0, a, o, 1, *[0.5] * 7) for a, o, _ in configurations] + [(0, b, "-", None, *[0.5] * 7) for b in others], experiment.SCHEMA)
+        return spark.createDataFrame([(0, a, o, 1, True, *[0.5] * 7) for a, o, _ in configurations] + [(0, b, "-", None, True, *[0.5] * 7) for b in others], experiment.SCHEMA)
 
     monkeypatch.setattr(experiment, "run_grid", few)
     got = {(r["algo"], r["operator"]) for r in QUERIES["experiment_grid"](spark, "").collect()}
