@@ -187,7 +187,10 @@ def index(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     nodes = materialise(nodes_of(rows, k, id_col, vector_col))
     n = nodes.count()
     shard = shard or shard_size(n)
-    dealt = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(-(-n // shard) or 1)).cast("int"))
+    shards = -(-n // shard) or 1
+    dealt = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    # a shard is few bytes and much work: a task for each, which a stated number keeps from being merged by size
+    dealt = dealt.repartitionById(shards, "shard")
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         from modloom.llm import ann_graph as g
