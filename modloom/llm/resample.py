@@ -35,11 +35,13 @@ def words(text: Column) -> Column:
 def features(text: Column, most: int = MOST, buckets: int = BUCKETS) -> Column:
     """(n_words, buckets of all runs of 1 to `most` words, repeats included)."""
 
+    def runs(w: Column, k: int) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.concat_ws(" ", *[w[i + j] for j in range(k)]))
+        return F.when(F.size(w) >= k, run).otherwise(F.array().cast("array<string>"))
+
     def of(w: Column) -> Column:
-        runs = [w]
-        for k in range(2, most + 1):
-            runs.append(F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i, k=k: F.array_join(F.slice(w, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")))
-        hashed = F.transform(F.concat(*runs) if most > 1 else w, lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int"))
+        found = F.concat(w, *[runs(w, k) for k in range(2, most + 1)]) if most > 1 else w
+        hashed = F.transform(found, lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int"))
         return F.struct(F.size(w).alias("n_words"), hashed.alias("buckets"))
 
     return F.transform(F.array(words(text)), of)[0]

@@ -1,6 +1,7 @@
 """How the sources of a language differ in their words: distances of all pairs, and each source's 50 most over-used terms.
 
-Words are counted once by (language, source, term), with the number of documents that hold them; a language keeps the terms of
+Words are counted once by (language, source, term), with the number of documents that hold them: in Arrow batches within tasks,
+which pass on sums of what they hold, a bounded number of terms, then in one aggregation. A language keeps the terms of
 at least `least_docs` documents. The postings (kept terms of a group with a count above 0) are written and are all that later steps read.
 
 Pairs: a distance is a sum over all kept terms, of which most groups have few. Terms that one group lacks have a probability there that
@@ -21,15 +22,23 @@ empty table gives no rows; columns other than text, lang and source are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from . import common
+from .common import discard, lean, materialise
 from .joins import share_join
 
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes as a term has them: A-Z folded, letters and all bytes of other characters kept, what parts terms as a space.
+FOLD = bytes(i + 32 if chr(i) in ascii_uppercase else i if i >= 128 or chr(i) in ascii_lowercase else 32 for i in range(256))
+#: Terms that a Python task holds before it passes their sums on.
+HELD = 1 << 18
 LEAST_DOCS, SMOOTH, TOP = 30, 5, 50
 #: Postings of a term that one task pairs with all others of the term; pairs of groups that one task makes.
 PER_TASK = 256
@@ -49,16 +58,48 @@ def bucket(count: Column) -> Column:
     return shift.cast("long") * 64 + F.call_function("shiftright", count, shift)
 
 
-def postings(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, term, n, lang_n, lead): counts of the kept terms by group and language; lead is 1 in one row of each (lang, term)."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text as bytes) to (lang, source, term, n, docs): sums over what came since the last rows; HELD terms at most are kept."""
+    kept: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    for batch in lean("source_audit", batches):
+        for i in range(len(batch)):
+            text = (batch.column(2)[i].as_py() or b"").translate(FOLD)
+            n, docs = kept.setdefault((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), (Counter(), Counter()))
+            seen: set[bytes] = set()
+            for part in _parts(text):
+                words = part.split()
+                n.update(words)
+                seen.update(words)
+            docs.update(seen)
+        if sum(len(n) for n, _ in kept.values()) > HELD:
+            yield from _told(kept)
+            kept.clear()
+    yield from _told(kept)
+
+
+def _parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about `size`, cut at spaces."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def _told(kept: dict[tuple[str, str], tuple[Counter, Counter]], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, docs) in kept.items():
+        terms = list(n)
+        for i in range(0, len(terms), rows):
+            some = terms[i : i + rows]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
-    def told(w: Column) -> Column:
-        said = F.transform(w, lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("docs")))
-        return F.concat(said, F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("docs"))))
 
-    each = _grouped(docs, words.alias("w")).select("lang", "source", F.inline(F.transform(F.array("w"), told)[0]))
-    counts = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def postings(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, n, lang_n, lead): counts of the kept terms by group and language; lead is 1 in one row of each (lang, term)."""
+    common.ship(docs.sparkSession)
+    each = _grouped(docs, F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_count, "lang string, source string, term binary, n long, docs long")
+    counts = each.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = W.partitionBy("lang", "term")
     seen = counts.select("*", F.sum("docs").over(of_term).alias("lang_docs"), F.sum("n").over(of_term).alias("lang_n"), F.min("source").over(of_term).alias("first"))
     return seen.filter(F.col("lang_docs") >= least_docs).select("lang", "source", "term", "n", "lang_n", (F.col("source") == F.col("first")).cast("long").alias("lead"))
@@ -122,14 +163,14 @@ def top_terms(scored: DataFrame, top: int = TOP, first: int = FIRST) -> DataFram
     in_order = W.partitionBy(*key).orderBy(F.col("value").desc(), "item")
     seen, upto, active, best, settled = 0, first, None, None, []
     while True:
-        due = buckets.filter((F.col("before") >= seen) & (F.col("before") < upto))
-        due = (due if active is None else due.join(active, key, "left_semi")).select(*key, "bucket")
+        open_buckets = buckets if active is None else buckets.join(active, key, "left_semi")
+        due = open_buckets.filter((F.col("before") >= seen) & (F.col("before") < upto)).select(*key, "bucket")
         found = scored.join(due, [*key, "bucket"], "left_semi").select(*key, F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value")).filter("value > 0")
         if best is not None:
             found = found.unionByName(best.join(active, key, "left_semi").drop("rank"))
         now = materialise(found.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= top))
         kth = now.filter(F.col("rank") == top).select(*key, F.col("value").alias("kth"))
-        unseen = buckets.filter(F.col("before") >= upto).groupBy(*key).agg(F.max("bound").alias("bound"))
+        unseen = open_buckets.filter(F.col("before") >= upto).groupBy(*key).agg(F.max("bound").alias("bound"))
         left = materialise(unseen.join(kth, key, "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).select(*key))
         settled.append(now.join(left, key, "left_anti"))
         if not left.limit(1).count():
@@ -165,7 +206,7 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The definition over the dense table of groups and kept terms, for DuckDB.
 OP11_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}') AS text FROM documents),
 w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
 k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {LEAST_DOCS}),
 g AS (SELECT DISTINCT lang, source FROM d),
