@@ -35,32 +35,43 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
+def local_moves(graph: DataFrame, gamma: float = 1.0, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(id, label, moved), written, and whether anything has moved: from single nodes, rounds of moves to the best neighbouring community
+    by nodes of alternating keyed parity, so that neighbours do not swap. They end when two rounds move nothing, when the labels
+    come again (moves made at once may undo each other, and would do so for ever), or after `rounds`."""
+    seen: set[tuple] = set()
+    kept = materialise(graph.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"), F.lit(False).alias("moved")))
+    moved_any, still = False, 0
+    for r in count() if rounds is None else range(rounds):
+        labels = kept.select("id", "label")
+        best = move_gains(graph, labels, gamma).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct(F.round("gain", 9).alias("g"), (-F.col("cand")).alias("o"))).alias("to"))
+        new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
+        moved, a, b = new.agg(F.count_if("moved"), F.bit_xor(F.xxhash64("id", "label")), F.bit_xor(F.xxhash64("label", "id", F.lit(5)))).first()
+        discard(kept)
+        kept = new
+        moved_any |= bool(moved)
+        still = 0 if moved else still + 1
+        if still == 2 or (moved and (r % 2, a, b) in seen):
+            break
+        seen.add((r % 2, a, b))
+    return kept, moved_any
+
+
 def louvain(edges: DataFrame, gamma: float = 1.0, levels: int | None = None) -> DataFrame:
-    """(id, label): rounds of moves to the best neighbouring community, by nodes of alternating keyed parity so that neighbours do
-    not swap, then contraction, until a level moves nothing (or for `levels` levels). A level ends when two rounds move nothing, or
-    when its labels come again: moves made at once may undo each other, and would do so for ever."""
+    """(id, label): local moves, then contraction, until a level moves nothing (or for `levels` levels)."""
     graph = materialise(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     whole = materialise(graph.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in count() if levels is None else range(levels):
-        seen: set[tuple] = set()
-        labels, moved_any, still = whole.select(F.col("label").alias("id")).distinct().withColumn("label", F.col("id")), False, 0
-        labels = kept = materialise(labels)
-        for r in count():
-            best = move_gains(graph, labels, gamma).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct("gain", (-F.col("cand")).alias("o"))).alias("to"))
-            new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
-            moved, a, b = new.agg(F.count_if("moved"), F.bit_xor(F.xxhash64("id", "label")), F.bit_xor(F.xxhash64("label", "id", F.lit(5)))).first()
-            discard(kept)
-            kept, labels = new, new.select("id", "label")
-            moved_any |= bool(moved)
-            still = 0 if moved else still + 1
-            if still == 2 or (moved and (r % 2, a, b) in seen):
-                break
-            seen.add((r % 2, a, b))
-        if not moved_any:
-            discard(kept)
+        labels, moved = local_moves(graph, gamma)
+        if moved:
+            before = graph, whole
+            whole = materialise(whole.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
+            graph = materialise(contract(graph, labels.select("id", "label")))
+            discard(*before)
+        discard(labels)
+        if not moved:
             break
-        whole = materialise(whole.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
-        graph = materialise(contract(graph, labels))
+    discard(graph)
     return canonical(whole)
 
 

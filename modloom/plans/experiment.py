@@ -36,30 +36,59 @@ def _scores(edges: DataFrame, labels: DataFrame, truth: DataFrame, gamma: float)
 def _starts(truth: DataFrame, k: int, repeats: int, init: str) -> DataFrame:
     if init == "random":
         return mbo.random_starts(truth, k, list(range(repeats)))
-    all_ = truth.select("id")
+    runs = None
     for run in range(repeats):
-        all_ = all_.join(labelling.init_equal(truth.select("id"), k, run).withColumnRenamed("label", f"l{run}"), "id")
-    return all_.select("id", F.array(*[f"l{run}" for run in range(repeats)]).alias("labels"))
+        one = labelling.init_equal(truth.select("id"), k, run).select("id", F.struct(F.lit(run).alias("run"), "label").alias("s"))
+        runs = one if runs is None else runs.unionByName(one)
+    return runs.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["label"]).alias("labels"))
 
 
-def run_grid(edges: DataFrame, truth: DataFrame, k: int, null: str = "ng", repeats: int = 20, configurations: Iterable[tuple[str, str, int]] = tuple(CONFIGURATIONS), others: Iterable[str] = (), gamma: float = 0.5, n_t: int = 3, tol: float = 0.0, stopping: str = "standard", init: str = "random") -> DataFrame:
-    """A row for each run; all starts of a configuration are solved and scored together. gamma is the resolution of solvers, baselines and
-    scores. secs holds the eigen-solver and an equal share of the starts and the solver. truth: (id, truth)."""
+def _spectra(edges: DataFrame, configurations: list[tuple[str, str, int]], k: int, n: int, null: str) -> dict[tuple[str, int], tuple]:
+    """(kind, pairs) to eigenvalues, vectors and seconds: one eigen-solve for all that differ in the number of pairs or the norm alone."""
+    out: dict[tuple[str, int], tuple] = {}
+    solved: dict[str, tuple] = {}
+    for kind in dict.fromkeys(kind for _, kind, _ in configurations):
+        sizes = sorted({min(times * k, n - 1) for _, x, times in configurations if x == kind})
+        base = kind.rsplit("_", 1)[0]
+        name = kind if base == "lb" else base
+        most = max(min(times * k, n - 1) for _, x, times in configurations if x == kind or (base != "lb" and x.startswith(base)))
+        began = time.perf_counter()
+        if name not in solved:
+            op = spectral.operator(edges, kind if base == "lb" else f"{base}_sym", null)
+            lam, v = spectral.smallest(op, most)
+            solved[name] = lam, materialise(v.join(op.nodes.select("id", "l"), "id"))
+        lam, v = solved[name]
+        rows = v.select("id", F.transform("v", lambda x: x * F.col("l")).alias("v")) if kind.endswith("_rw") and base != "lb" else v.select("id", "v")
+        secs = time.perf_counter() - began
+        for m in sizes:
+            out[kind, m] = lam[:m], rows.select("id", F.slice("v", 1, m).alias("v")), secs
+    return out
+
+
+def run_grid(edges: DataFrame, truth: DataFrame, k: int, nulls: Iterable[str] = ("ng",), repeats: int = 20, configurations: Iterable[tuple[str, str, int]] = tuple(CONFIGURATIONS), others: Iterable[str] = (), gamma: float = 0.5, n_t: int = 3, tol: float = 0.0, stopping: str = "standard", init: str = "random") -> DataFrame:
+    """A row for each run. All starts of all configurations are solved together, a round being one pass for all that still run, and scored
+    together. Operators that hold a null model are solved for each of `nulls` (named <operator>_er for the uniform one), the
+    others once. gamma is the resolution of solvers, baselines and scores. secs holds the eigen-solver and an equal share of the solver. truth: (id, truth)."""
     spark, rows = edges.sparkSession, []
     edges = materialise(edges)
     deg, starts = materialise(degrees(edges)), materialise(_starts(truth, k, repeats, init))
     n = deg.count()
-    for algo, kind, times in configurations:
-        began = time.perf_counter()
-        lam, v = spectral.embedding(edges, kind, min(times * k, n - 1), null)
-        v = materialise(v)
-        eigen = time.perf_counter() - began
+    problems, names, eigen = [], [], []
+    for i, null in enumerate(nulls):
+        some = [c for c in configurations if not i or not c[1].startswith("laplacian")]
+        spectra = _spectra(edges, some, k, n, null)
+        for algo, kind, times in some:
+            lam, v, secs = spectra[kind, min(times * k, n - 1)]
+            problems.append(mbo.Problem(algo, lam, v))
+            names.append((algo, f"{kind}_er" if null == "er" and not kind.startswith("laplacian") else kind))
+            eigen.append(secs)
+    if problems:
         began = time.perf_counter()
-        r = mbo.solve_many(algo, lam, v, deg, starts, k, edges=edges, tol=tol, n_t=n_t, gamma=gamma, stopping=stopping)
-        secs = eigen + (time.perf_counter() - began) / repeats
-        for run, s in sorted(_scores(edges, r.labels, truth, gamma).items()):
-            rows.append((run, algo, kind, r.rounds[run], r.converged[run], *[s[c] for c in SCORES], secs))
-        discard(v)
+        r = mbo.solve_together(problems, deg, starts, k, edges=edges, tol=tol, n_t=n_t, gamma=gamma, stopping=stopping)
+        share = (time.perf_counter() - began) / len(r.rounds)
+        for i, s in sorted(_scores(edges, r.labels, truth, gamma).items()):
+            p, run = divmod(i, repeats)
+            rows.append((run, *names[p], r.rounds[i], r.converged[i], *[s[c] for c in SCORES], eigen[p] + share))
     for name in others:
         began = time.perf_counter()
         labels = materialise(BASELINES[name](edges, k, gamma))

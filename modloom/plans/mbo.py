@@ -1,6 +1,6 @@
 """Modularity maximisation by alternating diffusion and thresholding, in the space of m eigenvectors.
 
-A node's state is its label in each of several runs (starts): the largest entry of its row of V times a filtered m x K matrix. So a
+A node's state is its label in each of several runs (problems times starts): the largest entry of its row of V times a filtered m x K matrix. So a
 state is that matrix, and a round is one narrow pass over V for all runs at once, which writes nothing: it takes the labels of
 this state and of the last one, counts the moves, and sums V'u of the new labels u, which the driver filters. A partition sends
 runs * m * K numbers, whatever its nodes.
@@ -57,58 +57,77 @@ def _digest(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.array([float(t >> np.uint64(32)), float(t & np.uint64(0xFFFFFFFF))])
 
 
-def _sums(v: np.ndarray, d: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int, forced: bool) -> list[np.ndarray]:
+def _sums(v: np.ndarray, d: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int, forced: bool) -> np.ndarray:
     u = _one(labels, k)
     more = [v.T @ (u * d[:, None]), d @ u] if forced else []
-    return [v.T @ u, *more, _digest(ids, labels)]
+    return np.concatenate([a.ravel() for a in (v.T @ u, *more, _digest(ids, labels))])
 
 
 Filters = list[np.ndarray | None]
 
 
-def _labels(v: np.ndarray, first: np.ndarray, filters: Filters) -> np.ndarray:
-    """A column of labels for each run; where its filter is None, those it starts from."""
-    return np.stack([first[:, r] if c is None else (v @ c).argmax(1) for r, c in enumerate(filters)], 1)
+@dataclass
+class Run:
+    """One start of one problem. Its filter is None while the state is the start itself."""
+
+    slot: int  # which of a node's rows of eigenvectors
+    first: int  # which of a node's first labels
+    m: int
+    forced: bool
+
+    def labels(self, v: list[np.ndarray], first: np.ndarray, c: np.ndarray | None) -> np.ndarray:
+        return first[:, self.first] if c is None else (v[self.slot] @ c).argmax(1)
+
+
+def _arrays(pdf: pd.DataFrame, slots: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of V of each slot, and the first labels."""
+    return [np.stack([x[s] for x in pdf.vs]) for s in range(slots)], np.stack(list(pdf.labels))
 
 
-def _round(start: DataFrame, old: Filters, new: Filters, k: int, forced: bool) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """For each run the sums of the new state over all nodes, and how many nodes have moved."""
+def _round(start: DataFrame, slots: int, runs: list[Run], old: Filters, new: Filters, k: int) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """For each run the sums of the new state over all nodes, and how many nodes have moved: one pass for all runs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, moved = None, np.zeros(len(new), np.int64)
         for pdf in batches:
             if len(pdf):
-                v, d, ids, first = np.stack(list(pdf.v)), pdf.d.to_numpy(), pdf.id.to_numpy(), np.stack(list(pdf.labels))
-                now = _labels(v, first, new)
-                moved += (now != _labels(v, first, old)).sum(0)
-                part = np.stack([np.concatenate([a.ravel() for a in _sums(v, d, now[:, r], ids, k, forced)]) for r in range(len(new))])
+                (v, first), d, ids = _arrays(pdf, slots), pdf.d.to_numpy(), pdf.id.to_numpy()
+                parts = []
+                for i, r in enumerate(runs):
+                    now = r.labels(v, first, new[i])
+                    moved[i] += (now != r.labels(v, first, old[i])).sum()
+                    parts.append(_sums(v[r.slot], d, now, ids, k, r.forced))
+                part = np.concatenate(parts)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"s": [total.ravel()], "moved": [moved]})
+            yield pd.DataFrame({"s": [total], "moved": [moved]})
 
     rows = start.mapInPandas(run, "s array<double>, moved array<long>").collect()  # a row for each partition
-    flat = np.sum([r["s"] for r in rows], axis=0).reshape(len(new), -1)
-    size = flat.shape[1] - 2  # without the digest
-    m = (size - k) // (2 * k) if forced else size // k
-    shapes = [(m, k), *([(m, k), (k,)] if forced else []), (2,)]
-    ends = np.cumsum([int(np.prod(x)) for x in shapes])
-    return [[x.reshape(y) for x, y in zip(np.split(f, ends[:-1]), shapes, strict=True)] for f in flat], np.sum([r["moved"] for r in rows], axis=0)
-
-
-def _moments(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    flat, at, out = np.sum([r["s"] for r in rows], axis=0), 0, []
+    for r in runs:
+        parts = []
+        for shape in [(r.m, k), *([(r.m, k), (k,)] if r.forced else []), (2,)]:
+            size = int(np.prod(shape))
+            parts.append(flat[at : at + size].reshape(shape))
+            at += size
+        out.append(parts)
+    return out, np.sum([r["moved"] for r in rows], axis=0)
+
+
+def _moments(start: DataFrame, slot: int) -> tuple[np.ndarray, np.ndarray]:
     """V'DV and V'd."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
             if len(pdf):
-                v, d = np.stack(list(pdf.v)), pdf.d.to_numpy()
+                v, d = np.stack([x[slot] for x in pdf.vs]), pdf.d.to_numpy()
                 part = np.concatenate([(v.T @ (v * d[:, None])).ravel(), v.T @ d])
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"s": [total]})
 
-    total = np.sum([r["s"] for r in state.select("v", "d").mapInPandas(run, "s array<double>").collect()], axis=0)
+    total = np.sum([r["s"] for r in start.select("vs", "d").mapInPandas(run, "s array<double>").collect()], axis=0)
     m = int((np.sqrt(4 * len(total) + 1) - 1) / 2)
     return total[: m * m].reshape(m, m), total[m * m :]
 
@@ -118,77 +137,116 @@ def random_starts(nodes: DataFrame, k: int, seeds: list[int]) -> DataFrame:
     return nodes.select("id", F.array(*[(key("id", s) % k).cast("int") for s in seeds]).alias("labels"))
 
 
-def solve_many(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, inits: DataFrame, k: int, edges: DataFrame | None = None, tol: float = 0.0, n_t: int = 3, gamma: float = 0.5, eps: float = 1.0, max_iter: int = MAX_ITER, stopping: str = "standard") -> Result:
-    """scheme: projection, finite_difference, hu or boyd. vectors: (id, v); degrees: (id, d); inits: (id, labels), null for none, a label for
-    each run.
+@dataclass
+class Problem:
+    """A scheme (projection, finite_difference, hu or boyd) on a spectrum: eigenvalues and (id, v)."""
 
-    stopping: standard (four times the nodes that move) or modularity (of `edges`), at most tol."""
-    ship(vectors.sparkSession)
-    lam = np.asarray(lam, float)
-    state = vectors.join(degrees.select("id", F.col("d").cast("double").alias("d")), "id").join(inits, "id").select("id", "v", "d", F.transform("labels", lambda x: F.coalesce(x.cast("int"), F.lit(-1))).alias("labels"))
-    start = materialise(state)
-    stats = start.agg(F.max("d").alias("m"), F.count("id").alias("n"), F.sum("d").alias("t"), F.max(F.size("labels")).alias("runs")).first()
-    n, total, runs, forced = stats["n"], stats["t"], stats["runs"], scheme == "hu"
+    scheme: str
+    lam: np.ndarray
+    vectors: DataFrame
+
+
+def _filter(p: Problem, max_degree: float, n: int, k: int, n_t: int, gamma: float, eps: float) -> tuple[np.ndarray, float]:
+    """What a round multiplies the coefficients of the eigenvectors by, and the time step."""
+    lam, scheme = np.asarray(np.real(p.lam), float), p.scheme
     positive = lam[lam > 1e-9]
     # a disconnected graph has several zero eigenvalues: the first that is not counts
     pick = (lam[0] if scheme == "finite_difference" else lam[1]) if len(lam) > 1 else lam[0]
     pick = pick if pick > 1e-9 else (positive[0] if len(positive) else 1.0)
-    dt = time_step(stats["m"], pick, n, k, gamma, eps)
+    dt = time_step(max_degree, pick, n, k, gamma, eps)
     if scheme == "finite_difference":
         dt /= 2 * n_t
     filters = {"projection": lambda: np.exp(-0.5 * lam * dt), "boyd": lambda: np.exp(-lam * dt), "finite_difference": lambda: 1 / (1 + dt * lam), "hu": lambda: 1 / (1 + dt * lam)}
-    filt = filters[scheme]()[:, None]
-    vdv, vd = _moments(start) if forced else (None, None)
+    return filters[scheme]()[:, None], dt
+
+
+def solve_together(problems: list[Problem], degrees: DataFrame, inits: DataFrame, k: int, edges: DataFrame | None = None, tol: float = 0.0, n_t: int = 3, gamma: float = 0.5, eps: float = 1.0, max_iter: int = MAX_ITER, stopping: str = "standard") -> Result:
+    """All problems from all starts, every round one pass for all that still run. degrees: (id, d); inits: (id, labels), null for none, a
+    label for each start. Runs are numbered problem by problem: run p * starts + s is start s of problem p.
 
-    def filtered(sums: list[np.ndarray]) -> np.ndarray:
-        if not forced:
+    stopping: standard (four times the nodes that move) or modularity (of `edges`), at most tol."""
+    spark = inits.sparkSession
+    ship(spark)
+    tables = {id(p.vectors): p.vectors for p in problems}  # a spectrum that several problems share is held once
+    slot = {key_: i for i, key_ in enumerate(tables)}
+    rows = None
+    for key_, table in tables.items():
+        one = table.select("id", F.struct(F.lit(slot[key_]).alias("slot"), "v").alias("s"))
+        rows = one if rows is None else rows.unionByName(one)
+    vs = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["v"]).alias("vs"))
+    state = vs.join(degrees.select("id", F.col("d").cast("double").alias("d")), "id").join(inits, "id").select("id", "vs", "d", F.transform("labels", lambda x: F.coalesce(x.cast("int"), F.lit(-1))).alias("labels"))
+    start = materialise(state)
+    stats = start.agg(F.max("d").alias("m"), F.count("id").alias("n"), F.sum("d").alias("t"), F.max(F.size("labels")).alias("runs")).first()
+    total, starts = stats["t"], stats["runs"]
+    filters = [_filter(p, stats["m"], stats["n"], k, n_t, gamma, eps) for p in problems]
+    forcing = {slot[id(p.vectors)]: None for p in problems if p.scheme == "hu"}
+    forcing = {s: _moments(start, s) for s in forcing}
+    runs = [Run(slot[id(p.vectors)], s, len(p.lam), p.scheme == "hu") for p in problems for s in range(starts)]
+
+    def filtered(i: int, sums: list[np.ndarray]) -> np.ndarray:
+        filt, dt = filters[i // starts]
+        if not runs[i].forced:
             return filt * sums[0]
         # inner steps in the space of the eigenvectors: w = u + sum of 2 gamma dt D (v_j - mean_j)
-        (vw, vdu, du, _), c = sums, None
+        (vw, vdu, du, _), (vdv, vd), c = sums, forcing[runs[i].slot], None
         for _ in range(n_t):
             mean = (du if c is None else vd @ c) / total
             vw = vw + 2 * gamma * dt * ((vdu if c is None else vdv @ c) - np.outer(vd, mean))
             c = filt * vw
         return c
 
-    state: Filters = [None] * runs
-    sums, _ = _round(start, state, state, k, forced)
-    seen: list[dict[tuple, int]] = [{tuple(s[-1]): 0} for s in sums]
-    last, rounds, converged, before = [max_iter] * runs, [0] * runs, [False] * runs, [0.0] * runs
+    n = len(runs)
+    state: Filters = [None] * n
+    found, _ = _round(start, len(slot), runs, state, state, k)
+    sums = dict(enumerate(found))
+    seen: list[dict[tuple, int]] = [{tuple(s[-1]): 0} for s in found]
+    last, rounds, converged, before = [max_iter] * n, [0] * n, [False] * n, [0.0] * n
     trace: list[float] = []
-    live = [max_iter > 0] * runs
+    live = list(range(n)) if max_iter > 0 else []
     t = 0
-    while any(live):
-        new = [filtered(s) if on else c for s, on, c in zip(sums, live, state, strict=True)]
-        sums, moved = _round(start, state, new, k, forced)
+    while live:
+        new = list(state)
+        for i in live:
+            new[i] = filtered(i, sums[i])
+        found, count = _round(start, len(slot), [runs[i] for i in live], [state[i] for i in live], [new[i] for i in live], k)
+        sums, moved = dict(zip(live, found, strict=True)), dict(zip(live, count, strict=True))
         state, t = new, t + 1
-        quality = {r["run"]: r["modularity"] for r in modularity(edges, _runs(start, state), "ng", gamma, ("run",)).collect()} if stopping == "modularity" else {}
-        if runs == 1 and quality:
+        quality = {r["run"]: r["modularity"] for r in modularity(edges, _runs(start, len(slot), runs, state), "ng", gamma, ("run",)).collect()} if stopping == "modularity" else {}
+        if n == 1 and quality:
             trace.append(quality[0])
-        for r in [r for r in range(runs) if live[r]]:
-            rounds[r] = t
-            stop = abs(quality[r] - before[r]) if quality else 4.0 * moved[r]
-            before[r] = quality.get(r, 0.0)
+        still = []
+        for i in live:
+            rounds[i] = t
+            stop = abs(quality[i] - before[i]) if quality else 4.0 * moved[i]
+            before[i] = quality.get(i, 0.0)
             if stop <= tol:
-                converged[r], live[r] = True, False
-            elif t >= last[r]:
-                rounds[r], live[r] = max_iter, False
-            elif (was := seen[r].setdefault(tuple(sums[r][-1]), t)) < t and last[r] == max_iter:
-                last[r] = t + (max_iter - t) % (t - was)  # the state after max_iter rounds
-                if last[r] == t:
-                    rounds[r], live[r] = max_iter, False
-    out = materialise(_runs(start, state))
+                converged[i] = True
+                continue
+            if t < last[i] and (was := seen[i].setdefault(tuple(sums[i][-1]), t)) < t and last[i] == max_iter:
+                last[i] = t + (max_iter - t) % (t - was)  # the state after max_iter rounds
+            if t >= last[i]:
+                rounds[i] = max_iter
+                continue
+            still.append(i)
+        live = still
+    out = materialise(_runs(start, len(slot), runs, state))
     discard(start)
     return Result(out, rounds, trace, converged)
 
 
-def _runs(start: DataFrame, state: Filters) -> DataFrame:
+def solve_many(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, inits: DataFrame, k: int, **kw) -> Result:
+    """solve_together for one problem: a run is a start."""
+    return solve_together([Problem(scheme, lam, vectors)], degrees, inits, k, **kw)
+
+
+def _runs(start: DataFrame, slots: int, runs: list[Run], state: Filters) -> DataFrame:
     """(run, id, label); -1 for none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                now = _labels(np.stack(list(pdf.v)), np.stack(list(pdf.labels)), state)
+                v, first = _arrays(pdf, slots)
+                now = np.stack([r.labels(v, first, c) for r, c in zip(runs, state, strict=True)], 1)
                 yield pd.DataFrame({"run": np.tile(np.arange(now.shape[1], dtype=np.int32), len(now)), "id": np.repeat(pdf.id.to_numpy(), now.shape[1]), "label": now.ravel().astype(np.int32)})
 
     return start.mapInPandas(run, "run int, id long, label int")

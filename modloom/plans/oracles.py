@@ -190,38 +190,49 @@ SELECT source, id, min(dist)::INT AS dist FROM b GROUP BY 1, 2""",
 r AS (SELECT src AS id, src AS far FROM u UNION SELECT id, dst FROM r JOIN u ON src = far) SELECT id, min(far) AS label FROM r GROUP BY 1""",
 }
 
-#: The planted blocks: the strong block model is drawn so that every solver's best start, and every baseline, finds them.
-for _name in ["louvain", "spectral_kmeans", "mbo_projection_modularity_stop", *[f"mbo_{s}_{k}" for s in ("projection", "finite_difference") for k in ("lmix_sym", "lmix_rw", "lb_sym", "lb_rw")], *[f"mbo_{s}_{k}" for s in ("hu", "boyd") for k in ("laplacian_sym", "laplacian_rw")]]:
-    ORACLES[_name] = "SELECT range AS id, range // 30 * 30 AS label FROM range(120)"
-
-
-def _round_sql(scheme: str) -> str:
-    """One round from fixed vectors, eigenvalues 0.1 to 0.4 and a keyed start of five classes."""
+def _rounds_sql(scheme: str, rounds: int) -> str:
+    """Rounds from fixed vectors, eigenvalues 0.1 to 0.4 and a keyed start of five classes."""
     pick, parts = (0.1, 6) if scheme == "finite_difference" else (0.2, 1)
     filt = {"projection": "exp(-0.5 * l * dt)", "boyd": "exp(-l * dt)"}.get(scheme, "1 / (1 + dt * l)")
-    base = f"""{PTS}, u AS (SELECT id, v, 1.0 + id % 5 AS d, ({_key('id', 7)} % 5)::INT AS label FROM p),
+    sql = f"""{PTS}, u AS (SELECT id, v, 1.0 + id % 5 AS d FROM p), l0 AS (SELECT id, ({_key('id', 7)} % 5)::INT AS label FROM p),
 t AS (SELECT sqrt(0.15 / (1.5 * max(d)) * ln(sqrt(count(*) * 5)) / {pick}) / {parts} AS dt, sum(d) AS total FROM u),
 j AS (SELECT range::INT + 1 AS j, (range + 1) / 10.0 AS l FROM range(4)), f AS (SELECT j, {filt} AS f FROM j, t),
-k AS (SELECT range::INT AS k FROM range(5)),
-e AS (SELECT id, d, j, v[j] AS x, k, CASE WHEN label = k THEN 1.0 ELSE -1.0 END AS y FROM u, j, k),
-c0 AS (SELECT j, k, sum(x * y) AS vu, sum(d * x * y) AS vdu FROM e GROUP BY j, k)"""
-    if scheme != "hu":
-        return f"""{base}, c AS (SELECT j, k, f * vu AS c FROM c0 JOIN f USING (j)),
-w AS (SELECT id, k, sum(x * c) AS w FROM e JOIN c USING (j, k) GROUP BY id, k)
-SELECT id, k AS label FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, k) = 1"""
-    steps = "c1 AS (SELECT j, k, vu + g.g * (vdu - vd * m) AS vw FROM c0 JOIN s USING (j) JOIN m0 USING (k), g)"
-    for i in (1, 2):
-        steps += f""", h{i} AS (SELECT j, k, f * vw AS c FROM c{i} JOIN f USING (j)),
-n{i} AS (SELECT k, sum(vd * c) / any_value(total) AS m FROM h{i} JOIN s USING (j), t GROUP BY k),
-q{i} AS (SELECT a AS j, k, sum(g * c) AS vdc FROM gg JOIN h{i} ON gg.b = h{i}.j GROUP BY a, k),
-c{i + 1} AS (SELECT j, k, vw + g.g * (vdc - vd * m) AS vw FROM c{i} JOIN q{i} USING (j, k) JOIN s USING (j) JOIN n{i} USING (k), g)"""
-    return f"""{base}, s AS (SELECT j, sum(d * v[j]) AS vd FROM u, j GROUP BY j), g AS (SELECT 2 * 0.5 * dt AS g FROM t),
-gg AS (SELECT a.j AS a, b.j AS b, sum(d * v[a.j] * v[b.j]) AS g FROM u, j a, j b GROUP BY a.j, b.j),
-m0 AS (SELECT k, sum(d * CASE WHEN label = k THEN 1.0 ELSE -1.0 END) / any_value(total) AS m FROM u, k, t GROUP BY k),
-{steps}, c AS (SELECT j, k, f * vw AS c FROM c3 JOIN f USING (j)),
-w AS (SELECT id, k, sum(x * c) AS w FROM e JOIN c USING (j, k) GROUP BY id, k)
-SELECT id, k AS label FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, k) = 1"""
+k AS (SELECT range::INT AS k FROM range(5)), s AS (SELECT j, sum(d * v[j]) AS vd FROM u, j GROUP BY j), g AS (SELECT 2 * 0.5 * dt AS g FROM t),
+gg AS (SELECT a.j AS a, b.j AS b, sum(d * v[a.j] * v[b.j]) AS g FROM u, j a, j b GROUP BY a.j, b.j)"""
+    for r in range(1, rounds + 1):
+        sql += f""", e{r} AS (SELECT id, d, j, v[j] AS x, k, CASE WHEN label = k THEN 1.0 ELSE -1.0 END AS y FROM u JOIN l{r - 1} USING (id), j, k),
+c{r}_0 AS (SELECT j, k, sum(x * y) AS vw, sum(d * x * y) AS vdc FROM e{r} GROUP BY j, k)"""
+        if scheme == "hu":
+            sql += f", n{r}_0 AS (SELECT k, sum(d * y) / any_value(total) AS m FROM e{r}, t WHERE j = 1 GROUP BY k)"
+            for i in (1, 2, 3):
+                sql += f""", w{r}_{i} AS (SELECT j, k, vw + g.g * (vdc - vd * m) AS vw FROM c{r}_{i - 1} JOIN s USING (j) JOIN n{r}_{i - 1} USING (k), g),
+h{r}_{i} AS (SELECT j, k, f * vw AS c FROM w{r}_{i} JOIN f USING (j)),
+n{r}_{i} AS (SELECT k, sum(vd * c) / any_value(total) AS m FROM h{r}_{i} JOIN s USING (j), t GROUP BY k),
+c{r}_{i} AS (SELECT j, k, vw, vdc FROM w{r}_{i} JOIN (SELECT a AS j, k, sum(g * c) AS vdc FROM gg JOIN h{r}_{i} h ON gg.b = h.j GROUP BY a, k) USING (j, k))"""
+            sql += f", c{r} AS (SELECT j, k, c FROM h{r}_3)"
+        else:
+            sql += f", c{r} AS (SELECT j, k, f * vw AS c FROM c{r}_0 JOIN f USING (j))"
+        sql += f""", l{r} AS (SELECT id, k AS label FROM (SELECT id, k, sum(v[j] * c) AS w FROM u, c{r} GROUP BY id, k) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, k) = 1)"""
+    return f"{sql} SELECT id, label FROM l{rounds}"
 
 
 for _name in ("projection", "finite_difference", "hu", "boyd"):
-    ORACLES[f"mbo_round_{_name}"] = _round_sql(_name)
+    ORACLES[f"mbo_round_{_name}"] = _rounds_sql(_name, 1)
+    ORACLES[f"mbo_rounds_{_name}"] = _rounds_sql(_name, 4)
+
+
+def _moves_sql(rounds: int) -> str:
+    """Rounds of local moves on the trade graph, from single nodes; even rounds move nodes of even keys."""
+    sql = f"{G}, l0 AS (SELECT id, id AS label FROM d)"
+    for r in range(1, rounds + 1):
+        b = r - 1
+        sql += f""", c{r} AS (SELECT label, sum(d)::DOUBLE AS dc FROM l{b} JOIN d USING (id) GROUP BY label),
+k{r} AS (SELECT src AS id, label AS cand, sum(w)::DOUBLE AS k FROM e JOIN l{b} ON dst = id GROUP BY src, label),
+s{r} AS (SELECT l.id, l.label, d.d::DOUBLE AS d, tot, coalesce(k, 0) - d.d * (dc - d.d) / tot AS stay FROM l{b} l JOIN d USING (id) JOIN c{r} USING (label) LEFT JOIN k{r} ON k{r}.id = l.id AND cand = l.label, t),
+b{r} AS (SELECT s.id, cand FROM s{r} s JOIN k{r} USING (id) JOIN c{r} c ON c.label = cand WHERE cand <> s.label AND k - d * dc / tot - stay > 1e-9 AND {_key('s.id', 5)} % 2 = {b % 2}
+  QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round(k - d * dc / tot - stay, 9) DESC, cand) = 1),
+l{r} AS (SELECT id, coalesce(cand, label) AS label FROM l{b} LEFT JOIN b{r} USING (id))"""
+    return f"{sql} SELECT id, label FROM l{rounds}"
+
+
+ORACLES["louvain_moves"] = _moves_sql(4)
