@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoding as enc
 from ..functions.encoding import key, six
-from ..operators import affinity, labelling, matrices, metrics
+from ..operators import affinity, labelling, matrices, metrics, neighbours
 from ..sources import graphs
 from . import baselines, experiment, mbo, nystrom, spectral
 from .tables import materialise
@@ -101,6 +101,19 @@ def knn_edges(spark, d):
     return affinity.knn(graphs.points(spark, d)).select("src", "dst", six(F.col("d2")).alias("d2"), "rank")
 
 
+@query
+def approximate_knn_edges(spark, d):
+    """Ten neighbours of every point, from projection buckets and neighbours of neighbours."""
+    return neighbours.approximate_knn(graphs.points(spark, d)).select("src", "dst", six(F.col("d2")).alias("d2"), "rank")
+
+
+@query
+def projection_codes(spark, d):
+    """The side of each point on the planes of two tables, cut for buckets of 16."""
+    p = neighbours.projections(graphs.points(spark, d), 2, 16)
+    return p.select("id", "table", "code", six(F.col("along")).alias("along"))
+
+
 @query
 def knn_gaussian_weights(spark, d):
     return affinity.gaussian_weights(graphs.points(spark, d)).select("src", "dst", six(F.col("w")).alias("w"))

@@ -236,3 +236,8 @@ l{r} AS (SELECT id, coalesce(cand, label) AS label FROM l{b} LEFT JOIN b{r} USIN
 
 
 ORACLES["louvain_moves"] = _moves_sql(4)
+ORACLES["projection_codes"] = f"""{PTS}, c AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i FROM p), m AS (SELECT i, avg(x) AS m FROM c GROUP BY i),
+b AS (SELECT greatest(1, ceil(log2(count(*) / 16.0)))::INT AS bits FROM p),
+h AS (SELECT t.range AS t, b.range AS b, i, {_key("(t.range || '-' || b.range || '-' || i)", 7)} / 4294967296.0::DOUBLE - 0.5 AS h FROM range(2) t, range(64) b, m WHERE b.range <= (SELECT bits FROM b)),
+s AS (SELECT id, t, b, sum((x - m) * h) AS s FROM c JOIN m USING (i) JOIN h USING (i) GROUP BY id, t, b)
+SELECT id, t::INT AS "table", sum(CASE WHEN s > 0 AND b < bits THEN 1 << b ELSE 0 END)::BIGINT AS code, {_six('max(CASE WHEN b = bits THEN s END)')} AS along FROM s, b GROUP BY id, t"""

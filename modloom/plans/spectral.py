@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import key
 from ..operators.matrices import node_table, null_weight
 from ..shipping import ship
-from .tables import materialise
+from .tables import discard, materialise
 
 DENSE = 2048
 
@@ -31,6 +31,7 @@ class LinearOp:
     sparse: list[tuple[float, str, str, str]]  # factor, edge column, left and right scaling
     rank_one: list[tuple[float, str, str]]  # factor, left and right column
     bound: float  # all eigenvalues are at most this
+    symmetric: bool = True
 
     def scalings(self) -> list[str]:
         return [c for c in self.nodes.columns if c != "id"]
@@ -85,44 +86,60 @@ def operator(edges: DataFrame, kind: str, null: str = "ng") -> LinearOp:
     nodes, e = materialise(nodes), materialise(e)
     base = kind.rsplit("_", 1)[0]
     if base == "laplacian":
-        return LinearOp(nodes, e, 1.0, [(-1.0, "w", "l", "r")], [], 2.0)
+        return LinearOp(nodes, e, 1.0, [(-1.0, "w", "l", "r")], [], 2.0, not rw)
     if base == "lmix":
-        return LinearOp(nodes, e, 2.0, [(-1.0, "w", "l", "r")], [(1.0, "lpl", "rpr")], 4.0)
-    return LinearOp(nodes, e, 2.0, [(-1.0, "bp", "lp", "rp"), (1.0, "wb", "ln", "rn")], [(1.0, "lnpl", "rnpr")], 4.0)
+        return LinearOp(nodes, e, 2.0, [(-1.0, "w", "l", "r")], [(1.0, "lpl", "rpr")], 4.0, not rw)
+    return LinearOp(nodes, e, 2.0, [(-1.0, "bp", "lp", "rp"), (1.0, "wb", "ln", "rn")], [(1.0, "lnpl", "rnpr")], 4.0, not rw)
+
+
+def ordered_eig(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of a real matrix by real part and unit vectors in real columns: a complex pair (real part equal, the one of
+    negative imaginary part first) has the real and the imaginary part of its vector as its two columns. Real values come as real numbers."""
+    lam, v = np.linalg.eig(a)
+    order = np.lexsort((lam.imag, np.round(lam.real, 12)))
+    lam, v = lam[order], v[:, order]
+    cols = np.where(lam.imag > 0, v.imag, v.real)
+    cols = cols / np.maximum(np.linalg.norm(cols, axis=0), 1e-300)
+    return (lam.real if np.abs(lam.imag).max(initial=0) <= 1e-9 * max(1.0, np.abs(lam).max(initial=0)) else lam), cols
 
 
 def smallest(op: LinearOp, m: int, dense: int = DENSE, rounds: int = 200, degree: int = 8, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
-    """The m smallest eigenvalues, ascending, and (id, v array). For _rw operators of one degree, pass the sym form and scale. Rounds go
-    on until the values stand still; after `rounds` of them without that, an error tells so."""
+    """The m eigenvalues of smallest real part, ascending, and (id, v array). Complex pairs of an operator that is not symmetric are
+    reported as complex values, with vectors as in `ordered_eig`; a pair that m would part is cut.
+
+    Graphs of up to `dense` nodes are solved on the driver. Larger ones by subspace iteration: a Chebyshev filter of products, an
+    orthonormal basis by tall QR, and the eigenvalues of the small projected matrix; without symmetry the basis turns to that matrix's Schur
+    vectors in order, so its leading columns stay an invariant subspace. Rounds go on until the values stand still; after `rounds`
+    of them without that, an error tells so. The driver holds matrices of some m x m numbers."""
     n = op.nodes.count()
     spark = op.nodes.sparkSession
     if n <= dense:
         ids, a = op.dense()
-        if np.allclose(a, a.T, atol=1e-10):
-            lam, v = np.linalg.eigh((a + a.T) / 2)
-        else:
-            lam, v = np.linalg.eig(a)
-            order = np.argsort(lam.real)
-            lam, v = lam.real[order], v.real[:, order]
+        lam, v = np.linalg.eigh((a + a.T) / 2) if op.symmetric else ordered_eig(a)
         lam, v = lam[:m], v[:, :m]
         return lam, spark.createDataFrame([(i, list(map(float, r))) for i, r in zip(ids, v, strict=True)], "id long, v array<double>")
     size = min(n, m + max(4, m // 2))
-    x = op.nodes.select("id", *[(key(F.concat_ws("-", "id", F.lit(j)), seed) / 2.0**32 - 0.5).alias(f"x{j}") for j in range(size)])
-    x = materialise(x)
+    x = materialise(op.nodes.select("id", *[(key(F.concat_ws("-", "id", F.lit(j)), seed) / 2.0**32 - 0.5).alias(f"x{j}") for j in range(size)]))
     upper, cut, lam = op.bound, op.bound * 0.6, np.full(m, np.inf)
     for _ in range(rounds):
         # a Chebyshev polynomial keeps [cut, upper] small and lets what lies below grow
         c, h = (upper + cut) / 2, (upper - cut) / 2
-        before, now = x, _combine(op.apply(x, size), x, size, 1 / h, -c / h)
+        before, now = x, materialise(_combine(op.apply(x, size), x, size, 1 / h, -c / h))
         for _ in range(degree - 1):
-            now = materialise(now)
-            before, now = now, _combine(_combine(op.apply(now, size), now, size, 2 / h, -2 * c / h), before, size, 1.0, -1.0)
-        x = _orthonormal(materialise(now), size)
+            after = materialise(_combine(_combine(op.apply(now, size), now, size, 2 / h, -2 * c / h), before, size, 1.0, -1.0))
+            discard(before)
+            before, now = now, after
+        discard(before)
+        x = _orthonormal(now, size)
         y = materialise(op.apply(x, size))
-        theta, w = np.linalg.eigh(_gram(x, y, size))
-        x = materialise(_rotate(x, w))
+        g = _gram(x, y, size)
+        discard(now, y)
+        theta, vectors = np.linalg.eigh((g + g.T) / 2) if op.symmetric else ordered_eig(g)
         done = np.allclose(theta[:m], lam, rtol=1e-6, atol=1e-7)
-        lam, cut = theta[:m], float(theta[-1]) + 1e-3
+        lam, cut = theta[:m], min(float(theta[-1].real) + 1e-3, 0.95 * upper)
+        turned = materialise(_rotate(x, vectors if op.symmetric or done else np.linalg.qr(vectors)[0]))
+        discard(x)
+        x = turned
         if done:
             break
     else:
@@ -140,7 +157,7 @@ def _array(x: DataFrame, m: int, name: str) -> DataFrame:
 
 
 def _gram(a: DataFrame, b: DataFrame, m: int) -> np.ndarray:
-    """A'B, symmetric: partial products in each partition, m * m numbers from each."""
+    """A'B: partial products in each partition, m * m numbers from each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -153,8 +170,7 @@ def _gram(a: DataFrame, b: DataFrame, m: int) -> np.ndarray:
 
     ship(a.sparkSession)
     both = _array(a, m, "v").join(_array(b, m, "y"), "id").select("v", "y")
-    g = np.sum([r["g"] for r in both.mapInPandas(run, "g array<double>").collect()], axis=0).reshape(m, m)
-    return (g + g.T) / 2
+    return np.sum([r["g"] for r in both.mapInPandas(run, "g array<double>").collect()], axis=0).reshape(m, m)
 
 
 def _rotate(x: DataFrame, w: np.ndarray) -> DataFrame:
@@ -167,19 +183,47 @@ def _rotate(x: DataFrame, w: np.ndarray) -> DataFrame:
     return got.select("id", *[F.col("v")[j].alias(f"x{j}") for j in range(w.shape[1])])
 
 
+def tall_r(x: DataFrame, m: int, column: str = "v", branches: int = 64) -> np.ndarray:
+    """R of the QR factors of the rows of a column of arrays, by a tree: each partition factors its rows batch by batch, each of
+    `branches` groups the factors of its partitions, the driver theirs. Never a Gram matrix, which would square the condition number."""
+
+    def stacked(parts: list[np.ndarray]) -> np.ndarray:
+        r = np.linalg.qr(np.concatenate(parts), mode="r")
+        return np.concatenate([r, np.zeros((m - len(r), m))]) if len(r) < m else r
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for pdf in batches:
+            if len(pdf):
+                r = stacked([np.stack(list(pdf[column]))] if r is None else [r, np.stack(list(pdf[column]))])
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel()]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"r": [stacked([np.reshape(r, (m, m)) for r in pdf.r]).ravel()]})
+
+    ship(x.sparkSession)
+    factors = x.select(column).mapInPandas(own, "r array<double>").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
+    return stacked([np.zeros((m, m)), *[np.reshape(r["r"], (m, m)) for r in factors.groupBy("branch").applyInPandas(joined, "r array<double>").collect()]])
+
+
 def _orthonormal(x: DataFrame, m: int) -> DataFrame:
-    for _ in range(2):  # once more for what rounding leaves
-        lam, w = np.linalg.eigh(_gram(x, x, m))
-        x = materialise(_rotate(x, w / np.sqrt(np.maximum(lam, lam[-1] * 1e-14))))
+    """The same space with orthonormal columns, written. The second pass takes what the first one's rounding leaves."""
+    made: list[DataFrame] = []
+    for _ in range(2):
+        _, s, vt = np.linalg.svd(tall_r(_array(x, m, "v"), m))
+        x = materialise(_rotate(x, vt.T / np.maximum(s, s[0] * 1e-15)))
+        made.append(x)
+    discard(made[0])
     return x
 
 
 def embedding(edges: DataFrame, kind: str, m: int, null: str = "ng", dense: int = DENSE) -> tuple[np.ndarray, DataFrame]:
     """Eigenpairs of an operator. The rw forms of laplacian and lmix share the sym form's values, with vectors scaled by the root of
-    the degree; lb_rw has two degree matrices and is solved as it is, on the driver only."""
+    the degree; lb_rw has two degree matrices, shares nothing with lb_sym and is solved as it is, without symmetry."""
     base, norm = kind.rsplit("_", 1)
     if norm == "sym" or base == "lb":
-        return smallest(operator(edges, kind, null), m, dense if norm == "sym" else 10**9)
+        return smallest(operator(edges, kind, null), m, dense)
     op = operator(edges, f"{base}_sym", null)
     lam, v = smallest(op, m, dense)
     scaled = v.join(op.nodes.select("id", "l"), "id").select("id", F.transform("v", lambda x: x * F.col("l")).alias("v"))

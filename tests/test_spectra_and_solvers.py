@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modloom.functions.encoding import argmax_label, onehot_pm1, threshold
-from modloom.operators import affinity, labelling, matrices, metrics
+from modloom.operators import affinity, labelling, matrices, metrics, neighbours
 from modloom.plans import baselines, mbo, nystrom, spectral
 from modloom.sources import graphs
 
@@ -55,6 +55,78 @@ def test_distributed_iteration_agrees(spark):
     assert np.allclose(spectral.gram_of(v), np.eye(4), atol=1e-6)
 
 
+def rw_model(w, null):
+    n, d = len(w), w.sum(1)
+    b = w - (np.outer(d, d) / d.sum() if null == "ng" else np.full((n, n), d.sum() / (n * (n - 1))))
+    pos, neg = np.maximum(b, 0), np.maximum(-b, 0)
+    return 2 * np.eye(n) - pos / pos.sum(1)[:, None] + neg / neg.sum(1)[:, None]
+
+
+def test_two_degree_matrices_on_the_cluster(spark):
+    e, _ = graphs.block_model(spark, 40, 4, 0.9, 0.05)
+    a = rw_model(dense(e, 40), "ng")
+    want = np.linalg.eigvals(a)
+    want = want[np.argsort(want.real)][:4]
+    assert np.allclose(spectral.embedding(e, "lb_rw", 4)[0], want, atol=1e-8)  # on the driver
+    lam, v = spectral.embedding(e, "lb_rw", 4, dense=0)
+    assert np.allclose(lam, want, atol=1e-5)
+    x = np.array([r["v"] for r in v.orderBy("id").collect()])
+    assert np.abs(a @ x - x * np.real(lam)).max() < 1e-3 and np.allclose(np.linalg.norm(x, axis=0), 1)
+
+
+def test_complex_pairs_are_reported():
+    a = np.array([[1.0, -2.0, 0, 0], [2.0, 1.0, 0, 0], [0, 0, 0.5, 0], [0, 0, 0, 3.0]])
+    lam, v = spectral.ordered_eig(a)
+    assert np.allclose(lam, [0.5, 1 - 2j, 1 + 2j, 3])
+    pair = v[:, 1:3]
+    assert np.linalg.matrix_rank(np.c_[pair, a @ pair], tol=1e-9) == 2  # a real basis of the pair's space
+    assert not np.iscomplexobj(spectral.ordered_eig(np.diag([2.0, 1.0]))[0])
+
+
+def test_tall_factors_keep_what_a_gram_matrix_loses(spark):
+    rng = np.random.default_rng(2)
+    q = np.linalg.qr(rng.normal(size=(600, 6)))[0]
+    a = q @ np.diag(10.0 ** -np.arange(0, 12, 2)) @ np.linalg.qr(rng.normal(size=(6, 6)))[0]  # condition 1e10
+    x = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "id long, " + ", ".join(f"x{j} double" for j in range(6))).repartition(7)
+    r = spectral.tall_r(spectral._array(x, 6, "v"), 6, branches=3)
+    assert np.allclose(np.linalg.svd(r)[1], np.linalg.svd(a)[1], rtol=1e-4, atol=0)
+    o = np.array([list(r)[1:] for r in spectral._orthonormal(x, 6).orderBy("id").collect()])
+    assert np.abs(o.T @ o - np.eye(6)).max() < 1e-12
+    assert np.abs(a - o @ (o.T @ a)).max() < 1e-12
+
+
+def neighbours_by_hand(x, k):
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    return [set(np.argsort(r, kind="stable")[:k].tolist()) for r in d2]
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(700, 16)), np.repeat(rng.normal(size=(1, 16)), 300, 0), rng.normal(5, 0.1, (200, 16))])  # a third are copies
+    points = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id long, features array<double>")
+    got = neighbours.approximate_knn(points, 5, tables=3, bucket=40).collect()
+    near = {}
+    for r in got:
+        assert r["d2"] == pytest.approx(((x[r["src"]] - x[r["dst"]]) ** 2).sum()) and r["src"] != r["dst"]
+        near.setdefault(r["src"], {})[r["rank"]] = (r["d2"], r["dst"])
+    assert len(near) == len(x) and all(sorted(v) == [1, 2, 3, 4, 5] and sorted(v.values()) == [v[i] for i in range(1, 6)] for v in near.values())
+    want = neighbours_by_hand(x, 5)
+    plain = [i for i in range(len(x)) if not 700 <= i < 1000]
+    assert sum(len(want[i] & {j for _, j in near[i].values()}) for i in plain) >= 0.95 * 5 * len(plain)
+    assert all(near[i][5][0] == 0 for i in range(700, 1000))  # copies find copies
+    placed = neighbours.projections(points, 2, 40).groupBy("table").count().collect()
+    assert [r["count"] for r in placed] == [len(x)] * 2
+
+
+def test_approximate_neighbours_of_odd_points(spark):
+    schema = "id long, features array<double>, table int, d2 double"
+    rows = [(1, [0.0, 1.0], 0, 1.0), (1, [0.0, 1.0], 0, 1.0), (2, [0.0, 1.0], 0, 1.0), (3, [5.0, 1.0], 0, 1.0), (4, None, 0, 1.0), (5, [None, 1.0], 0, 1.0), (6, [float("nan"), 1.0], 0, 1.0)]
+    got = {(r["src"], r["dst"], r["d2"], r["rank"]) for r in neighbours.approximate_knn(spark.createDataFrame(rows, schema), 3).collect()}
+    assert got == {(1, 2, 0.0, 1), (1, 3, 25.0, 2), (2, 1, 0.0, 1), (2, 3, 25.0, 2), (3, 1, 25.0, 1), (3, 2, 25.0, 2)}
+    assert neighbours.approximate_knn(spark.createDataFrame([], schema), 3).count() == 0
+
+
 def test_zachary_has_78_edges_and_two_clubs(karate):
     e, n, w = karate
     assert e.count() == 156 and w.sum() == 156
