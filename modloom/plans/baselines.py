@@ -90,45 +90,104 @@ def first_merge(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "a", "b").limit(1)
 
 
-def greedy_merge(edges: DataFrame, gamma: float = 1.0, most_pairs: int = 100_000) -> DataFrame:
-    """(id, label): pairs of communities merged by largest gain until none is positive. Sequential by nature: runs on the driver for
-    graphs of at most most_pairs edges (checked); a larger one is first contracted by local moves, which is distributed."""
-    base = None
+#: Pairs that a distributed round of greedy merging looks at.
+BATCH = 256
+
+
+def greedy_merge(edges: DataFrame, gamma: float = 1.0, most_pairs: int = 100_000, batch: int = BATCH) -> DataFrame:
+    """(id, label): pairs of communities merged by largest gain, the smaller pair in a tie, until none is positive. Graphs of at most
+    most_pairs edges (checked) are merged on the driver, larger ones by merge_batches; both make the same merges."""
     if edges.limit(2 * most_pairs + 1).count() > 2 * most_pairs:
-        base = materialise(louvain(edges, gamma, levels=1))
-        edges = materialise(contract(edges, base))
-        if edges.limit(2 * most_pairs + 1).count() > 2 * most_pairs:
-            if not base.filter("id <> label").limit(1).count():
-                raise ValueError("local moves do not make the graph smaller, and it is too large to be merged pair by pair")
-            return greedy_merge(edges, gamma, most_pairs).join(base.withColumnRenamed("label", "via").withColumnRenamed("id", "node"), F.col("id") == F.col("via")).select(F.col("node").alias("id"), "label")
+        return merge_batches(edges, gamma, batch)
     rows = [(r["src"], r["dst"], float(r["w"])) for r in edges.collect()]
     total = sum(w for _, _, w in rows)
     near: dict[int, dict[int, float]] = {}
-    a: dict[int, float] = {}
+    d: dict[int, float] = {}
     for i, j, w in rows:
-        a[i] = a.get(i, 0.0) + w / total
+        d[i] = d.get(i, 0.0) + w
         near.setdefault(i, {})
         if i != j:
-            near[i][j] = near[i].get(j, 0.0) + w / total
+            near[i][j] = near[i].get(j, 0.0) + w
     group = {i: i for i in near}
     while True:
-        gain, i, j = max(((2 * (e - gamma * a[i] * a[j]), -i, -j) for i, row in near.items() for j, e in row.items() if i < j), default=(0.0, 0, 0))
-        if gain <= 1e-12:
+        gain, i, j = max(((w * total - gamma * d[i] * d[j], -i, -j) for i, row in near.items() for j, w in row.items() if i < j), default=(0.0, 0, 0))
+        if gain <= LEAST_GAIN * total * total:
             break
         i, j = -i, -j
-        for k, e in near.pop(j).items():
+        for k, w in near.pop(j).items():
             near[k].pop(j, None)
             if k != i:
-                near[i][k] = near[i].get(k, 0.0) + e
+                near[i][k] = near[i].get(k, 0.0) + w
                 near[k][i] = near[i][k]
-        a[i] += a.pop(j)
+        d[i] += d.pop(j)
         for k, g in group.items():
             if g == j:
                 group[k] = i
-    out = edges.sparkSession.createDataFrame([(int(i), int(g)) for i, g in group.items()], "id long, label long")
-    if base is not None:
-        out = base.withColumnRenamed("label", "via").join(out.withColumnRenamed("id", "via"), "via").select("id", "label")
-    return canonical(out)
+    return canonical(edges.sparkSession.createDataFrame([(int(i), int(g)) for i, g in group.items()], "id long, label long"))
+
+
+#: A merge must add more than twice this to the modularity.
+LEAST_GAIN = 5e-13
+
+
+def _next_merges(pairs: list, least_new: dict, adjacent: set, floor: float) -> list[tuple[int, int]]:
+    """The merges that the sequential rule makes next, as far as these pairs (all above the last one's gain, in its order) can tell.
+
+    A pair that shares a community with an earlier merge is gone: what replaces it gains least_new at most. A pair is next while its
+    gain is above all that earlier merges of the batch can have made, and while no community of it borders on theirs (then gains between two
+    merged pairs would count too)."""
+    out: list[tuple[int, int]] = []
+    used: set[int] = set()
+    made = floor
+    for a, b, gain in pairs:
+        if a in used or b in used:
+            continue
+        if gain <= made or any((x, y) in adjacent for x in (a, b) for y in used):
+            break
+        out.append((a, b))
+        used |= {a, b}
+        made = max(made, least_new[a, b])
+    return out
+
+
+def merge_batches(edges: DataFrame, gamma: float = 1.0, batch: int = BATCH) -> DataFrame:
+    """(id, label) of greedy merging, from a table of pairs of communities. A round takes the `batch` pairs of largest gain and, by a join, the
+    largest gain that each one's merging would make; the first of them that are provably the next merges in order are made at
+    once, and only pairs of merged communities are summed anew. The driver holds `batch` pairs and the edges among them."""
+    spark = edges.sparkSession
+    pairs = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w")))
+    sizes = materialise(degrees(edges).select("id", F.col("d").cast("double").alias("d")))
+    whole = materialise(sizes.select("id", F.col("id").alias("label")))
+    total = sizes.agg(F.sum("d")).first()[0] or 0.0
+    value = F.col("w") * total - gamma * F.col("di") * F.col("dj")
+    di, dj = sizes.toDF("src", "di"), sizes.toDF("dst", "dj")
+    while True:
+        top = pairs.filter("src < dst").join(di, "src").join(dj, "dst").select("src", "dst", value.alias("gain")).orderBy(F.desc("gain"), "src", "dst").limit(batch).collect()
+        top = [(r["src"], r["dst"], r["gain"]) for r in top if r["gain"] > LEAST_GAIN * total * total]
+        if not top:
+            break
+        # what each pair's merging would make: gains with all that either side borders on
+        side = F.broadcast(spark.createDataFrame([(a, b, x) for a, b, _ in top for x in (a, b)], "a long, b long, src long"))
+        around = pairs.join(side, "src").filter("dst <> a AND dst <> b").groupBy("a", "b", "dst").agg(F.sum("w").alias("w"))
+        own = F.broadcast(sizes.join(side, sizes.id == side.src).groupBy("a", "b").agg(F.sum("d").alias("di")))
+        made = around.join(own, ["a", "b"]).join(dj, "dst").groupBy("a", "b").agg(F.max(value).alias("made"))
+        least_new = dict.fromkeys(((a, b) for a, b, _ in top), float("-inf")) | {(r["a"], r["b"]): r["made"] for r in made.collect()}
+        nodes = F.broadcast(spark.createDataFrame(sorted({(x,) for a, b, _ in top for x in (a, b)}), "x long"))
+        adjacent = {(r["src"], r["dst"]) for r in pairs.join(nodes, F.col("src") == F.col("x"), "left_semi").join(nodes, F.col("dst") == F.col("x"), "left_semi").select("src", "dst").collect()}
+        merges = _next_merges(top, least_new, adjacent, LEAST_GAIN * total * total)
+        to = F.broadcast(spark.createDataFrame([(b, a) for a, b in merges], "old long, new long"))
+        before = pairs, sizes, whole
+
+        def renamed(table: DataFrame, col: str, to: DataFrame = to) -> DataFrame:
+            return table.join(to, F.col(col) == F.col("old"), "left").withColumn(col, F.coalesce("new", col)).drop("old", "new")
+
+        pairs = materialise(renamed(renamed(pairs, "src"), "dst").filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        sizes = materialise(renamed(sizes, "id").groupBy("id").agg(F.sum("d").alias("d")))
+        whole = materialise(renamed(whole, "label"))
+        di, dj = sizes.toDF("src", "di"), sizes.toDF("dst", "dj")
+        discard(*before)
+    discard(pairs, sizes)
+    return canonical(whole)
 
 
 def bfs_levels(edges: DataFrame) -> DataFrame:
@@ -195,14 +254,76 @@ def _parts(near: dict[int, set[int]]) -> dict[int, int]:
     return label
 
 
-def girvan_newman(edges: DataFrame, most_nodes: int = DENSE) -> DataFrame:
-    """(id, label): the first split by removing edges of largest betweenness. Each removal needs all shortest paths anew, so graphs of
-    more than most_nodes nodes (checked) are refused."""
+#: Sources that distributed betweenness follows at once.
+SOURCES = 1024
+
+
+def edge_betweenness(edges: DataFrame, block: int = SOURCES, sample: int | None = None, seed: int = 7) -> DataFrame:
+    """(src, dst, paths), src < dst: the number of shortest paths between pairs of nodes that use an edge, parts of ties by their number.
+
+    Sources go in blocks of about `block`. From all sources of a block at once, levels of (source, id, number of shortest paths) are
+    reached by a join each and written; a node's neighbours lie in its level and those beside it, so a level is told from the last two
+    alone. Shares then flow back level by level. A block holds block * n rows at most.
+
+    sample: only so many sources (of least keyed number), paths scaled by n / sample. With probability 1 - p every edge is then within
+    n * (n - 1) / 2 * sqrt(ln(2 * edges / p) / (2 * sample)) of its value (Hoeffding's bound)."""
+    near = materialise(edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = near.select(F.col("src").alias("source")).distinct()
+    n, scale = nodes.count(), 1.0
+    if sample is not None and sample < n:
+        nodes, scale = nodes.orderBy(key("source", seed), "source").limit(sample), n / sample
+        n = sample
+    blocks = max(1, -(-n // block))
+    nodes = materialise(nodes.withColumn("block", (key("source", 3) % blocks).cast("int")))
+    parts: list[DataFrame] = []
+    for k in range(blocks):
+        parts.append(_block_betweenness(near, nodes.filter(F.col("block") == k).select("source")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = materialise(out.groupBy("src", "dst").agg((F.sum("paths") * scale).alias("paths")))
+    discard(near, nodes, *parts)
+    return out
+
+
+def _block_betweenness(near: DataFrame, sources: DataFrame) -> DataFrame:
+    levels = [materialise(sources.select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths")))]
+    while True:
+        step = levels[-1].join(near.select(F.col("src").alias("id"), "dst"), "id").groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        for old in levels[-2:]:
+            step = step.join(old.select("source", "id"), ["source", "id"], "left_anti")
+        reached = materialise(step)
+        if not reached.limit(1).count():
+            discard(reached)
+            break
+        levels.append(reached)
+    told: list[DataFrame] = []
+    flow = None  # (source, id, flow): what goes through the nodes of a level, themselves included
+    for d in range(len(levels) - 1, 0, -1):
+        here = levels[d] if flow is None else levels[d].join(flow, ["source", "id"], "left")
+        here = here.select("source", F.col("id").alias("dst"), ((F.lit(1.0) if flow is None else 1 + F.coalesce("flow", F.lit(0.0))) / F.col("paths")).alias("each"))
+        back = here.join(near, "dst").join(levels[d - 1].select("source", F.col("id").alias("src"), "paths"), ["source", "src"])
+        share = materialise(back.select("source", "src", "dst", (F.col("paths") * F.col("each")).alias("share")))
+        told.append(share)
+        flow = share.groupBy("source", F.col("src").alias("id")).agg(F.sum("share").alias("flow"))
+    if not told:
+        return materialise(near.select("src", "dst", F.lit(0.0).alias("paths")).limit(0))
+    every = told[0]
+    for s in told[1:]:
+        every = every.unionByName(s)
+    out = materialise(every.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.sum("share") / 2).alias("paths")))
+    discard(*levels, *told)
+    return out
+
+
+def girvan_newman(edges: DataFrame, most_nodes: int = DENSE, block: int = SOURCES) -> DataFrame:
+    """(id, label): the first split by removing edges of largest betweenness, the smaller edge in a tie. Each removal needs all shortest paths
+    anew: on the driver for graphs of at most most_nodes nodes (checked), by edge_betweenness beyond; both remove the same edges."""
     if edges.select("src").distinct().count() > most_nodes:
-        raise ValueError("the graph is too large for edge betweenness")
-    near: dict[int, set[int]] = {}
+        return _distributed_split(edges, block)
+    near: dict[int, set[int]] = {r["src"]: set() for r in edges.select("src").distinct().collect()}
     for r in edges.filter("src <> dst").select("src", "dst").collect():
-        near.setdefault(r["src"], set()).add(r["dst"])
+        near[r["src"]].add(r["dst"])
     parts = _parts(near)
     start = len(set(parts.values()))
     while len(set(parts.values())) == start and any(near.values()):
@@ -214,6 +335,28 @@ def girvan_newman(edges: DataFrame, most_nodes: int = DENSE) -> DataFrame:
     return edges.sparkSession.createDataFrame([(int(i), int(p)) for i, p in parts.items()], "id long, label long")
 
 
+def _distributed_split(edges: DataFrame, block: int) -> DataFrame:
+    nodes = materialise(edges.select(F.col("src").alias("id")).distinct())
+    now = materialise(edges.filter("src <> dst").select("src", "dst").distinct())
+
+    def parts() -> tuple[DataFrame, int]:
+        found = nodes.join(connected_components(now), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        found = materialise(found)
+        return found, found.select("label").distinct().count()
+
+    labels, start = parts()
+    count = start
+    while count == start and now.limit(1).count():
+        b = edge_betweenness(now, block)
+        i, j = b.orderBy(F.desc(F.round("paths", 9)), "src", "dst").select("src", "dst").first()
+        after = materialise(now.filter(~F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).eqNullSafe(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")))))
+        discard(now, b, labels)
+        now = after
+        labels, count = parts()
+    discard(now, nodes)
+    return labels.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
+
+
 def spectral_kmeans(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """(id, label): k-means over rows of the k smallest eigenvectors of the symmetric Laplacian, scaled to unit length."""
     from pyspark.ml.clustering import KMeans

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoding as enc
@@ -501,6 +501,32 @@ def girvan_newman(spark, d):
     return baselines.girvan_newman(graphs.trade(spark, d))
 
 
+@query
+def cnm_batches(spark, d):
+    """Greedy merging of the heaviest trade links by its distributed rounds."""
+    return baselines.merge_batches(materialise(_strong_links(spark, d)))
+
+
+@query
+def edge_betweenness(spark, d):
+    """Shortest paths through each of the trade links of more than the mean weight."""
+    b = baselines.edge_betweenness(_heavy_links(spark, d))
+    return b.select("src", "dst", six(F.col("paths")).alias("paths"))
+
+
+def _strong_links(spark: SparkSession, d: str) -> DataFrame:
+    """The three heaviest links of each nation, both directions."""
+    e = graphs.trade(spark, d)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
+    strong = e.withColumn("rank", rank).filter("rank <= 3")
+    return strong.select("src", "dst", "w").union(strong.select("dst", "src", "w")).distinct()
+
+
+def _heavy_links(spark: SparkSession, d: str) -> DataFrame:
+    e = graphs.trade(spark, d)
+    return e.crossJoin(F.broadcast(e.agg(F.avg("w").alias("mean")))).filter("w > mean").select("src", "dst")  # one row
+
+
 @query
 def bfs_levels(spark, d):
     return baselines.bfs_levels(graphs.trade(spark, d))

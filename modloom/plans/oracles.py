@@ -241,3 +241,20 @@ b AS (SELECT greatest(1, ceil(log2(count(*) / 16.0)))::INT AS bits FROM p),
 h AS (SELECT t.range AS t, b.range AS b, i, {_key("(t.range || '-' || b.range || '-' || i)", 7)} / 4294967296.0::DOUBLE - 0.5 AS h FROM range(2) t, range(64) b, m WHERE b.range <= (SELECT bits FROM b)),
 s AS (SELECT id, t, b, sum((x - m) * h) AS s FROM c JOIN m USING (i) JOIN h USING (i) GROUP BY id, t, b)
 SELECT id, t::INT AS "table", sum(CASE WHEN s > 0 AND b < bits THEN 1 << b ELSE 0 END)::BIGINT AS code, {_six('max(CASE WHEN b = bits THEN s END)')} AS along FROM s, b GROUP BY id, t"""
+
+
+def _betweenness_sql(levels: int) -> str:
+    """Paths counted level by level and shares flowing back, for graphs of at most so many levels."""
+    sql = f"{G}, h AS (SELECT src, dst FROM e WHERE w > (SELECT avg(w) FROM e)), l0 AS (SELECT DISTINCT src AS s, src AS id, 1.0::DOUBLE AS n FROM h)"
+    for i in range(1, levels + 1):
+        known = " UNION ALL ".join(f"SELECT s, id FROM l{j}" for j in range(i))
+        sql += f", l{i} AS (SELECT s, dst AS id, sum(n) AS n FROM l{i - 1} JOIN h ON src = id WHERE (s, dst) NOT IN ({known}) GROUP BY s, dst)"
+    sql += f", f{levels} AS (SELECT s, id, 1.0::DOUBLE AS f, n FROM l{levels})"
+    for i in range(levels, 0, -1):
+        sql += f""", b{i} AS (SELECT x.s, src, dst, y.n * x.f / x.n AS p FROM f{i} x JOIN h ON dst = x.id JOIN l{i - 1} y ON y.s = x.s AND y.id = src),
+f{i - 1} AS (SELECT l.s, l.id, 1 + coalesce(sum(p), 0) AS f, any_value(l.n) AS n FROM l{i - 1} l LEFT JOIN b{i} b ON b.s = l.s AND b.src = l.id GROUP BY l.s, l.id)"""
+    every = " UNION ALL ".join(f"SELECT src, dst, p FROM b{i}" for i in range(1, levels + 1))
+    return f"{sql} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, {_six('sum(p) / 2')} AS paths FROM ({every}) GROUP BY 1, 2"
+
+
+ORACLES["edge_betweenness"] = _betweenness_sql(6)

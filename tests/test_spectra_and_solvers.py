@@ -237,6 +237,32 @@ def test_baselines_on_karate_and_blocks(blocks, karate):
     assert baselines.girvan_newman(k).groupBy("label").count().count() == 2
 
 
+def test_merging_in_batches_is_the_sequential_rule(spark, karate, monkeypatch):
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    made = []
+    choose = baselines._next_merges
+    monkeypatch.setattr(baselines, "_next_merges", lambda *a: made.append(choose(*a)) or made[-1])
+    chain = graphs.edges_of(spark, " ".join(f"{4 * i + a}-{4 * i + b}" for i in range(8) for a, b in ((0, 1), (1, 2), (0, 2), (2, 3))) + " " + " ".join(f"{4 * i + 3}-{4 * i + 4}" for i in range(7)))
+    for e in (chain, karate[0]):
+        assert same(baselines.greedy_merge(e), baselines.greedy_merge(e, most_pairs=0))
+    assert max(map(len, made)) > 1
+
+
+def test_betweenness_on_the_cluster(spark, karate):
+    near = {}
+    for r in karate[0].collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    want = baselines._betweenness(near)
+    got = {(r["src"], r["dst"]): r["paths"] for r in baselines.edge_betweenness(karate[0], block=20).collect()}
+    assert got == pytest.approx(want)
+    some = {(r["src"], r["dst"]): r["paths"] for r in baselines.edge_betweenness(karate[0], sample=20).collect()}
+    bound = 34 * 33 / 2 * np.sqrt(np.log(2 * 78 / 0.01) / 40)
+    assert all(abs(some.get(e, 0.0) - v) <= bound for e, v in want.items())
+    toy = graphs.edges_of(spark, "0-1 0-2 1-2 3-4 3-5 4-5 2-3 6-7")
+    split = sorted(map(tuple, baselines.girvan_newman(toy).collect()))
+    assert split == sorted(map(tuple, baselines.girvan_newman(toy, most_nodes=0).collect())) and len({x for _, x in split}) == 3
+
+
 def test_self_tuned_weights_keep_ties_and_copies(spark):
     x = [[0.0, 0.0]] * 6 + [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0], [3.0, 4.0], [5.0, 5.0]]
     got = {(r["src"], r["dst"]): r["w"] for r in affinity.self_tuned(spark.createDataFrame(list(enumerate(x)), "id long, features array<double>"), 3).collect()}
