@@ -258,3 +258,22 @@ f{i - 1} AS (SELECT l.s, l.id, 1 + coalesce(sum(p), 0) AS f, any_value(l.n) AS n
 
 
 ORACLES["edge_betweenness"] = _betweenness_sql(6)
+
+
+def _merges_sql(graph: str, merges: int) -> str:
+    """Greedy merges one after the other, as many as a graph of merges + 1 nodes can take, from (src, dst, w)."""
+    sql = f"""{G}, p0 AS (SELECT src, dst, w::DOUBLE AS w FROM ({graph})), z AS (SELECT sum(w) AS tot FROM p0),
+s0 AS (SELECT src AS id, sum(w) AS d FROM p0 GROUP BY src), l0 AS (SELECT id, id AS label FROM s0)"""
+    for r in range(1, merges + 1):
+        b = r - 1
+        to = lambda c, r=r: f"CASE WHEN {c} = (SELECT b FROM b{r}) THEN (SELECT a FROM b{r}) ELSE {c} END"
+        sql += f""", b{r} AS MATERIALIZED (SELECT src AS a, dst AS b FROM p{b} JOIN s{b} x ON x.id = src JOIN s{b} y ON y.id = dst, z
+  WHERE src < dst AND w * z.tot - x.d * y.d > 5e-13 * z.tot * z.tot ORDER BY w * z.tot - x.d * y.d DESC, src, dst LIMIT 1),
+p{r} AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT {to('src')} AS src, {to('dst')} AS dst, w FROM p{b}) WHERE src <> dst GROUP BY 1, 2),
+s{r} AS MATERIALIZED (SELECT {to('id')} AS id, sum(d) AS d FROM s{b} GROUP BY 1), l{r} AS MATERIALIZED (SELECT id, {to('label')} AS label FROM l{b})"""
+    return f"{sql} SELECT id, min(id) OVER (PARTITION BY label) AS label FROM l{merges}"
+
+
+_STRONG = "SELECT src, dst, w FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3"
+ORACLES["cnm"] = _merges_sql("SELECT src, dst, w FROM e", 24)
+ORACLES["cnm_batches"] = _merges_sql(f"SELECT src, dst, w FROM ({_STRONG}) UNION SELECT dst, src, w FROM ({_STRONG})", 24)
