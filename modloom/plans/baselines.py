@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import key
@@ -14,19 +14,22 @@ from .spectral import DENSE, embedding
 from .tables import discard, materialise
 
 
-def move_gains(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(id, own, cand, gain): what moving a node from its own community to a neighbouring one adds to 2m times half the modularity."""
-    d = degrees(edges).withColumn("d", F.col("d").cast("double"))
-    l = labels.join(d, "id").select("id", "label", "d")  # noqa: E741
+def move_gains(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, d: DataFrame | None = None) -> DataFrame:
+    """(id, own, cand, gain): what moving a node from its own community to a neighbouring one adds to 2m times half the modularity. d:
+    (id, d) of the graph where it is at hand."""
+    d = (degrees(edges) if d is None else d).select("id", F.col("d").cast("double").alias("d"))
+    l = labels.select("id", "label").join(d, "id")  # noqa: E741
     by = l.groupBy("label").agg(F.sum("d").alias("dc"))
-    total = d.agg(F.sum("d").alias("tot"))
+    total = F.broadcast(d.agg(F.sum("d").alias("tot")))  # one row
     near = edges.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("cand")), "dst").groupBy(F.col("src").alias("id"), "cand").agg(F.sum("w").cast("double").alias("k"))
-    g = near.join(l, "id").join(by.withColumnRenamed("label", "cand"), "cand").crossJoin(F.broadcast(total))  # one row
+    # a node's own community is a candidate with no weight where it borders on none of it
+    near = near.unionByName(l.select("id", F.col("label").alias("cand"), F.lit(0.0).alias("k"))).groupBy("id", "cand").agg(F.sum("k").alias("k"))
+    g = near.join(l, "id").join(by.withColumnRenamed("label", "cand"), "cand").crossJoin(total)
     own = F.col("cand") == F.col("label")
     value = F.col("k") - gamma * F.col("d") * (F.col("dc") - F.when(own, F.col("d")).otherwise(0.0)) / F.col("tot")
-    g = g.select("id", "label", "cand", "d", "dc", "tot", value.alias("value"))
-    stay = l.join(by, "label").crossJoin(F.broadcast(total)).join(near.select("id", F.col("cand").alias("label"), "k"), ["id", "label"], "left").select("id", (F.coalesce("k", F.lit(0.0)) - gamma * F.col("d") * (F.col("dc") - F.col("d")) / F.col("tot")).alias("stay"))
-    return g.join(stay, "id").filter("cand <> label").select("id", F.col("label").alias("own"), "cand", (F.col("value") - F.col("stay")).alias("gain"))
+    stay = F.max(F.when(own, value)).over(Window.partitionBy("id"))
+    g = g.select("id", F.col("label").alias("own"), "cand", (value - stay).alias("gain"))
+    return g.filter("cand <> own")
 
 
 def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -41,10 +44,10 @@ def local_moves(graph: DataFrame, gamma: float = 1.0, rounds: int | None = None)
     come again (moves made at once may undo each other, and would do so for ever), or after `rounds`."""
     seen: set[tuple] = set()
     kept = materialise(graph.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"), F.lit(False).alias("moved")))
-    moved_any, still = False, 0
+    moved_any, still, d = False, 0, materialise(degrees(graph))
     for r in count() if rounds is None else range(rounds):
         labels = kept.select("id", "label")
-        best = move_gains(graph, labels, gamma).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct(F.round("gain", 9).alias("g"), (-F.col("cand")).alias("o"))).alias("to"))
+        best = move_gains(graph, labels, gamma, d).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct(F.round("gain", 9).alias("g"), (-F.col("cand")).alias("o"))).alias("to"))
         new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
         moved, a, b = new.agg(F.count_if("moved"), F.bit_xor(F.xxhash64("id", "label")), F.bit_xor(F.xxhash64("label", "id", F.lit(5)))).first()
         discard(kept)
@@ -54,6 +57,7 @@ def local_moves(graph: DataFrame, gamma: float = 1.0, rounds: int | None = None)
         if still == 2 or (moved and (r % 2, a, b) in seen):
             break
         seen.add((r % 2, a, b))
+    discard(d)
     return kept, moved_any
 
 

@@ -557,3 +557,13 @@ def experiment_grid(spark, d):
     e, n = graphs.trade(spark, d), labelled(spark, d).select("id", "truth")
     runs = experiment.run_grid(e, n, K, nulls=("ng", "er"), others=experiment.BASELINES, gamma=1.0)
     return experiment.averages(runs).select("algo", "operator", "runs", "n_iter", *[six(F.col(c)).alias(c) for c in ("modularity", "modularity_er", "ari", "purity", "inverse_purity", "nmi")])
+
+
+@query
+def landmark_grid(spark, d):
+    """The feature path of all twelve configurations: spectra of the full kernel from 60 landmarks, degrees and scores from the graph of
+    nearest neighbours, five starts each, stopped by modularity; and the label counts' scores against the points' classes."""
+    p = materialise(graphs.points(spark, d))
+    e = affinity.averaged(affinity.gaussian_weights(p))
+    runs = experiment.run_grid(e, p.select("id", "truth"), 10, repeats=5, n_t=5, tol=1e-4, stopping="modularity", spectra=experiment.landmark_spectra(p, 60, 0.5))
+    return experiment.averages(runs).select("algo", "operator", "runs", "n_iter", *[six(F.col(c)).alias(c) for c in ("modularity", "modularity_er", "ari", "purity", "inverse_purity", "nmi")])

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import labelling, metrics
 from ..operators.matrices import degrees
-from . import baselines, mbo, spectral
+from . import baselines, mbo, nystrom, spectral
 from .tables import discard, materialise
 
 #: The twelve configurations: solver, operator, eigenvectors per class.
@@ -47,6 +48,7 @@ def _spectra(edges: DataFrame, configurations: list[tuple[str, str, int]], k: in
     """(kind, pairs) to eigenvalues, vectors and seconds: one eigen-solve for all that differ in the number of pairs or the norm alone."""
     out: dict[tuple[str, int], tuple] = {}
     solved: dict[str, tuple] = {}
+    tables = {norm: spectral.scaled(edges, norm, null) for norm in {"rw" if kind == "lb_rw" else "sym" for _, kind, _ in configurations}}
     for kind in dict.fromkeys(kind for _, kind, _ in configurations):
         sizes = sorted({min(times * k, n - 1) for _, x, times in configurations if x == kind})
         base = kind.rsplit("_", 1)[0]
@@ -54,7 +56,8 @@ def _spectra(edges: DataFrame, configurations: list[tuple[str, str, int]], k: in
         most = max(min(times * k, n - 1) for _, x, times in configurations if x == kind or (base != "lb" and x.startswith(base)))
         began = time.perf_counter()
         if name not in solved:
-            op = spectral.operator(edges, kind if base == "lb" else f"{base}_sym", null)
+            solver = kind if base == "lb" else f"{base}_sym"
+            op = spectral.operator(edges, solver, null, tables[solver.rsplit("_", 1)[1]])
             lam, v = spectral.smallest(op, most)
             solved[name] = lam, materialise(v.join(op.nodes.select("id", "l"), "id"))
         lam, v = solved[name]
@@ -62,11 +65,35 @@ def _spectra(edges: DataFrame, configurations: list[tuple[str, str, int]], k: in
         secs = time.perf_counter() - began
         for m in sizes:
             out[kind, m] = lam[:m], rows.select("id", F.slice("v", 1, m).alias("v")), secs
+    for pair in tables.values():
+        discard(*pair)
     return out
 
 
-def run_grid(edges: DataFrame, truth: DataFrame, k: int, nulls: Iterable[str] = ("ng",), repeats: int = 20, configurations: Iterable[tuple[str, str, int]] = tuple(CONFIGURATIONS), others: Iterable[str] = (), gamma: float = 0.5, n_t: int = 3, tol: float = 0.0, stopping: str = "standard", init: str = "random") -> DataFrame:
-    """A row for each run. All starts of all configurations are solved together, a round being one pass for all that still run, and scored
+def landmark_spectra(points: DataFrame, landmarks: int, tau: float) -> Callable[..., dict[tuple[str, int], tuple]]:
+    """What `run_grid` takes as `spectra`: those of the full kernel graph of the points from landmarks, where edges (of nearest
+    neighbours, say) only give degrees and scores."""
+
+    def spectra(edges: DataFrame, configurations: list[tuple[str, str, int]], k: int, n: int, null: str) -> dict[tuple[str, int], tuple]:
+        out = {}
+        for kind in dict.fromkeys(kind for _, kind, _ in configurations):
+            sizes = sorted({min(times * k, n - 1, landmarks) for _, x, times in configurations if x == kind})
+            base, norm = kind.rsplit("_", 1)
+            began = time.perf_counter()
+            lam, v = nystrom.spectrum(points, landmarks, sizes[-1], tau, kind=base, null=null, norm=norm)
+            v = materialise(v)
+            secs = time.perf_counter() - began
+            for _, x, times in configurations:
+                if x == kind:
+                    m = min(times * k, n - 1, landmarks, len(lam))
+                    out[kind, min(times * k, n - 1)] = lam[:m], v.select("id", F.slice("v", 1, m).alias("v")), secs
+        return out
+
+    return spectra
+
+
+def run_grid(edges: DataFrame, truth: DataFrame, k: int, nulls: Iterable[str] = ("ng",), repeats: int = 20, configurations: Iterable[tuple[str, str, int]] = tuple(CONFIGURATIONS), others: Iterable[str] = (), gamma: float = 0.5, n_t: int = 3, tol: float = 0.0, stopping: str = "standard", init: str = "random", spectra: Callable[..., dict[tuple[str, int], tuple]] | None = None) -> DataFrame:
+    """A row for each run. spectra: where eigenpairs come from, if not from the graph of `edges` itself. All starts of all configurations are solved together, a round being one pass for all that still run, and scored
     together. Operators that hold a null model are solved for each of `nulls` (named <operator>_er for the uniform one), the
     others once. gamma is the resolution of solvers, baselines and scores. secs holds the eigen-solver and an equal share of the solver. truth: (id, truth)."""
     spark, rows = edges.sparkSession, []
@@ -76,9 +103,9 @@ def run_grid(edges: DataFrame, truth: DataFrame, k: int, nulls: Iterable[str] =
     problems, names, eigen = [], [], []
     for i, null in enumerate(nulls):
         some = [c for c in configurations if not i or not c[1].startswith("laplacian")]
-        spectra = _spectra(edges, some, k, n, null)
+        solved = (spectra or _spectra)(edges, some, k, n, null)
         for algo, kind, times in some:
-            lam, v, secs = spectra[kind, min(times * k, n - 1)]
+            lam, v, secs = solved[kind, min(times * k, n - 1)]
             problems.append(mbo.Problem(algo, lam, v))
             names.append((algo, f"{kind}_er" if null == "er" and not kind.startswith("laplacian") else kind))
             eigen.append(secs)
@@ -89,13 +116,15 @@ def run_grid(edges: DataFrame, truth: DataFrame, k: int, nulls: Iterable[str] =
         for i, s in sorted(_scores(edges, r.labels, truth, gamma).items()):
             p, run = divmod(i, repeats)
             rows.append((run, *names[p], r.rounds[i], r.converged[i], *[s[c] for c in SCORES], eigen[p] + share))
-    for name in others:
+    told, took = [], []
+    for i, name in enumerate(others):
         began = time.perf_counter()
-        labels = materialise(BASELINES[name](edges, k, gamma))
-        secs = time.perf_counter() - began
-        s = _scores(edges, labels.withColumn("run", F.lit(0)), truth, gamma)[0]
-        rows.append((0, name, "-", None, True, *[s[c] for c in SCORES], secs))
-        discard(labels)
+        told.append(materialise(BASELINES[name](edges, k, gamma).select("id", F.col("label").cast("long").alias("label"), F.lit(i).alias("run"))))
+        took.append((name, time.perf_counter() - began))
+    if told:
+        found = _scores(edges, reduce(DataFrame.unionByName, told), truth, gamma)
+        rows += [(0, name, "-", None, True, *[found[i][c] for c in SCORES], secs) for i, (name, secs) in enumerate(took)]
+        discard(*told)
     discard(deg, starts, edges)
     return spark.createDataFrame(rows, SCHEMA)
 

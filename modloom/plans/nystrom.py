@@ -77,7 +77,9 @@ def spectrum(points: DataFrame, k: int, m: int, tau: float, kind: str = "laplaci
     n = rows.count()
     y = ai @ _sum(rows, lambda c: c.sum(0))
     degree = lambda c: c @ y
-    if kind in ("laplacian", "classic"):
+    if kind == "classic":
+        return _one_shot(rows, a, degree, m, norm)
+    if kind == "laplacian":
         scaled = lambda c: c * _root(degree(c))[:, None]
         return _solve(rows, scaled, ai, m, 1.0, (lambda c: _root(degree(c))) if norm == "rw" else None)
     total = float(_sum(rows, lambda c: np.array([np.floor(degree(c)).sum() if truncated else degree(c).sum()]))[0])
@@ -115,6 +117,29 @@ def spectrum(points: DataFrame, k: int, m: int, tau: float, kind: str = "laplaci
     return _solve(rows, block, np.linalg.pinv(block(a), rcond=RCOND), m, 2.0, None, positive=kind == "lb")
 
 
+def _one_shot(rows: DataFrame, a: np.ndarray, degree: Callable[[np.ndarray], np.ndarray], m: int, norm: str) -> tuple[np.ndarray, DataFrame]:
+    """1 less the eigenvalues of R = A^-1/2 G A^-1/2, G the sum of c c' over all points, kernel and landmark block scaled by their degrees:
+    with U from R, C A^-1/2 U are the vectors, whose lengths are the roots of R's eigenvalues. The kernel must be positive semidefinite, as
+    no eigenvalue of A below zero has a root."""
+
+    def scaled(c: np.ndarray) -> np.ndarray:
+        return c * _root(degree(c))[:, None]
+
+    inside = _root(degree(a))
+    s, u = np.linalg.eigh(a * np.outer(inside, inside))
+    keep = s > s[-1] * RCOND
+    half = (u[:, keep] / np.sqrt(s[keep])) @ u[:, keep].T  # the root of the pseudo-inverse
+    g = _sum(rows, lambda c: (scaled(c) * inside).T @ (scaled(c) * inside)).reshape(a.shape)
+    r = half @ g @ half
+    lam, w = np.linalg.eigh((r + r.T) / 2)
+    lam, w = lam[::-1][:m], w[:, ::-1][:, :m]
+    ok = lam > lam[0] * RCOND
+    to = (inside[:, None] * half @ w[:, ok]) / np.sqrt(lam[ok])
+    if norm == "rw":
+        return 1 - lam[ok], _vectors(rows, lambda c: scaled(c) @ to * _root(degree(c))[:, None])
+    return 1 - lam[ok], _vectors(rows, lambda c: scaled(c) @ to)
+
+
 def _solve(rows: DataFrame, block: Callable[[np.ndarray], np.ndarray], inner: np.ndarray, m: int, shift: float, rescale: Callable[[np.ndarray], np.ndarray] | None, positive: bool = False) -> tuple[np.ndarray, DataFrame]:
     """Eigenpairs of shift * I - B inner B' with B = block(C), by the Gram matrix of B (rank-revealing)."""
     k = len(inner)

@@ -2,7 +2,8 @@
 
 An operator is a shift, sparse terms (a column of the edge table between two node scalings) and rank-one terms (products of
 node columns, applied as scalar products). Graphs of up to DENSE nodes, a checked bound, are solved on the driver; larger
-ones by Chebyshev-filtered subspace iteration, where a product is one join of edges with vectors and one sum by node.
+ones by Chebyshev-filtered subspace iteration. Edges lie in buckets of one end, nodes and vectors in the same buckets of their id, so a
+product is a join that moves nothing and one sum by the other end.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import key
 from ..operators.matrices import node_table, null_weight
 from ..shipping import ship
-from .tables import discard, materialise
+from .tables import discard, materialise, materialise_by
 
 DENSE = 2048
 
@@ -41,6 +42,7 @@ class LinearOp:
         xs = self.nodes.join(x, "id")
         dots = xs.agg(*[F.sum(F.col(r) * F.col(f"x{j}")).alias(f"q{k}_{j}") for k, (_, _, r) in enumerate(self.rank_one) for j in range(m)]) if self.rank_one else None
         sums = [F.sum(F.col(e) * F.col(r) * F.col(f"x{j}")).alias(f"s{k}_{j}") for k, (_, e, _, r) in enumerate(self.sparse) for j in range(m)]
+        # edges and vectors lie in the same buckets: a product moves the vectors' sums by node alone
         got = self.edges.join(xs, self.edges.dst == xs.id).groupBy(F.col("src").alias("id")).agg(*sums)
         y = xs.join(got, "id", "left")
         if dots is not None:
@@ -68,12 +70,13 @@ class LinearOp:
         return list(map(int, nodes.id)), a
 
 
-def operator(edges: DataFrame, kind: str, null: str = "ng") -> LinearOp:
-    """laplacian_sym, lmix_sym or lb_sym (and their _rw forms) of a graph. Zero degrees scale to zero."""
+def scaled(edges: DataFrame, norm: str, null: str = "ng") -> tuple[DataFrame, DataFrame]:
+    """The tables of all operators of one norm (sym or rw), written once: nodes with their scalings, in buckets of id; edges with the
+    positive part of W - P, in buckets of dst. Zero degrees scale to zero."""
     n = node_table(edges, null)
     inv = lambda c: F.coalesce(1 / F.nullif(F.col(c), F.lit(0.0)), F.lit(0.0))
     root = lambda c: F.sqrt(F.greatest(inv(c), F.lit(0.0)))
-    rw = kind.endswith("_rw")
+    rw = norm == "rw"
     one = F.lit(1.0)
     pl = F.col("d") / F.col("tot") if null == "ng" else null_weight("er", one, one, F.col("tot"), F.col("n"))
     pr = F.col("d") if null == "ng" else one
@@ -83,13 +86,19 @@ def operator(edges: DataFrame, kind: str, null: str = "ng") -> LinearOp:
     e = edges.join(n.select(F.col("id").alias("src"), F.col("d").alias("di"), "tot", "n"), "src").join(n.select(F.col("id").alias("dst"), F.col("d").alias("dj")), "dst")
     p = null_weight(null, F.col("di"), F.col("dj"), F.col("tot"), F.col("n"))
     e = e.select("src", "dst", F.col("w").cast("double").alias("w"), F.greatest(F.col("w") - p, F.lit(0.0)).alias("bp")).withColumn("wb", F.col("bp") - F.col("w"))
-    nodes, e = materialise(nodes), materialise(e)
-    base = kind.rsplit("_", 1)[0]
+    return materialise_by(nodes, "id"), materialise_by(e, "dst")
+
+
+def operator(edges: DataFrame, kind: str, null: str = "ng", tables: tuple[DataFrame, DataFrame] | None = None) -> LinearOp:
+    """laplacian_sym, lmix_sym or lb_sym (and their _rw forms) of a graph. tables: what `scaled` gives, where it is at hand."""
+    base, norm = kind.rsplit("_", 1)
+    nodes, e = scaled(edges, norm, null) if tables is None else tables
+    symmetric = norm == "sym"
     if base == "laplacian":
-        return LinearOp(nodes, e, 1.0, [(-1.0, "w", "l", "r")], [], 2.0, not rw)
+        return LinearOp(nodes, e, 1.0, [(-1.0, "w", "l", "r")], [], 2.0, symmetric)
     if base == "lmix":
-        return LinearOp(nodes, e, 2.0, [(-1.0, "w", "l", "r")], [(1.0, "lpl", "rpr")], 4.0, not rw)
-    return LinearOp(nodes, e, 2.0, [(-1.0, "bp", "lp", "rp"), (1.0, "wb", "ln", "rn")], [(1.0, "lnpl", "rnpr")], 4.0, not rw)
+        return LinearOp(nodes, e, 2.0, [(-1.0, "w", "l", "r")], [(1.0, "lpl", "rpr")], 4.0, symmetric)
+    return LinearOp(nodes, e, 2.0, [(-1.0, "bp", "lp", "rp"), (1.0, "wb", "ln", "rn")], [(1.0, "lnpl", "rnpr")], 4.0, symmetric)
 
 
 def ordered_eig(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,25 +128,25 @@ def smallest(op: LinearOp, m: int, dense: int = DENSE, rounds: int = 200, degree
         lam, v = lam[:m], v[:, :m]
         return lam, spark.createDataFrame([(i, list(map(float, r))) for i, r in zip(ids, v, strict=True)], "id long, v array<double>")
     size = min(n, m + max(4, m // 2))
-    x = materialise(op.nodes.select("id", *[(key(F.concat_ws("-", "id", F.lit(j)), seed) / 2.0**32 - 0.5).alias(f"x{j}") for j in range(size)]))
+    x = materialise_by(op.nodes.select("id", *[(key(F.concat_ws("-", "id", F.lit(j)), seed) / 2.0**32 - 0.5).alias(f"x{j}") for j in range(size)]), "id")
     upper, cut, lam = op.bound, op.bound * 0.6, np.full(m, np.inf)
     for _ in range(rounds):
         # a Chebyshev polynomial keeps [cut, upper] small and lets what lies below grow
         c, h = (upper + cut) / 2, (upper - cut) / 2
-        before, now = x, materialise(_combine(op.apply(x, size), x, size, 1 / h, -c / h))
+        before, now = x, materialise_by(_combine(op.apply(x, size), x, size, 1 / h, -c / h), "id")
         for _ in range(degree - 1):
-            after = materialise(_combine(_combine(op.apply(now, size), now, size, 2 / h, -2 * c / h), before, size, 1.0, -1.0))
+            after = materialise_by(_combine(_combine(op.apply(now, size), now, size, 2 / h, -2 * c / h), before, size, 1.0, -1.0), "id")
             discard(before)
             before, now = now, after
         discard(before)
         x = _orthonormal(now, size)
-        y = materialise(op.apply(x, size))
+        y = materialise_by(op.apply(x, size), "id")
         g = _gram(x, y, size)
         discard(now, y)
         theta, vectors = np.linalg.eigh((g + g.T) / 2) if op.symmetric else ordered_eig(g)
         done = np.allclose(theta[:m], lam, rtol=1e-6, atol=1e-7)
         lam, cut = theta[:m], min(float(theta[-1].real) + 1e-3, 0.95 * upper)
-        turned = materialise(_rotate(x, vectors if op.symmetric or done else np.linalg.qr(vectors)[0]))
+        turned = materialise_by(_rotate(x, vectors if op.symmetric or done else np.linalg.qr(vectors)[0]), "id")
         discard(x)
         x = turned
         if done:
@@ -212,7 +221,7 @@ def _orthonormal(x: DataFrame, m: int) -> DataFrame:
     made: list[DataFrame] = []
     for _ in range(2):
         _, s, vt = np.linalg.svd(tall_r(_array(x, m, "v"), m))
-        x = materialise(_rotate(x, vt.T / np.maximum(s, s[0] * 1e-15)))
+        x = materialise_by(_rotate(x, vt.T / np.maximum(s, s[0] * 1e-15)), "id")
         made.append(x)
     discard(made[0])
     return x

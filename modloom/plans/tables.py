@@ -39,9 +39,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialise_by(df: DataFrame, key: str) -> DataFrame:
+    """materialise in buckets of a key, as many as shuffle partitions: joins and sums by the key then move no row of the table."""
+    spark = df.sparkSession
+    path, n = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"modloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).mode("overwrite").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._modloom_path, out._modloom_name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialise() that nothing will read again: what was made from them is itself written."""
     for t in tables:
+        if hasattr(t, "_modloom_name"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._modloom_name}")
         sc = t.sparkSession.sparkContext
         delete(t._modloom_path, sc._jsc.hadoopConfiguration())
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from modloom.functions.encoding import argmax_label, onehot_pm1, threshold
 from modloom.operators import affinity, labelling, matrices, metrics, neighbours
-from modloom.plans import baselines, mbo, nystrom, spectral
+from modloom.plans import baselines, experiment, mbo, nystrom, spectral
 from modloom.sources import graphs
 
 
@@ -227,6 +227,81 @@ def test_nystrom_with_all_points_is_exact(spark):
     assert len(nystrom.spectrum(points, 30, 5, 1.0, kind="lb", null="er")[0]) == 5
 
 
+@pytest.fixture(scope="module")
+def cloud(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.4, (15, 3)) for c in (0, 2)])
+    return x, spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id long, features array<double>")
+
+
+@pytest.mark.parametrize("kind,null", [("lmix", "ng"), ("lmix", "er"), ("lb", "ng"), ("lb", "er")])
+def test_landmark_spectra_of_null_models_with_all_points_are_exact(cloud, kind, null):
+    x, points = cloud
+    w = full_kernel(x, 1.0)
+    n, d = len(w), w.sum(1)
+    p = np.outer(d, d) / d.sum() if null == "ng" else np.full((n, n), d.sum() / (n * (n - 1)))
+    root = lambda v: np.diag(v**-0.5)
+    if kind == "lmix":
+        dn = d if null == "ng" else p.sum(1)  # each part is scaled by its own degrees
+        a = 2 * np.eye(n) - root(d) @ w @ root(d) + root(dn) @ p @ root(dn)
+    else:
+        pos, neg = np.maximum(w - p, 0), np.maximum(p - w, 0)
+        a = 2 * np.eye(n) - root(pos.sum(1)) @ pos @ root(pos.sum(1)) + root(neg.sum(1)) @ neg @ root(neg.sum(1))
+    lam, v = nystrom.spectrum(points, n, 5, 1.0, kind=kind, null=null)
+    want = np.linalg.eigvalsh(a)[:5]
+    assert np.allclose(lam, want, atol=2e-4)
+    got = np.array([r["v"] for r in v.orderBy("id").collect()])
+    assert np.abs(a @ got - got * lam).max() < 5e-3 and np.allclose(np.linalg.norm(got, axis=0), 1, atol=1e-6)
+
+
+def test_one_shot_landmark_form(cloud):
+    x, points = cloud
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2.0)
+    want = np.linalg.eigvalsh(model(w, "laplacian_sym", "ng"))[:5]
+    lam, v = nystrom.spectrum(points, 30, 5, 2.0, kind="classic")
+    assert np.allclose(lam, want, atol=1e-5)
+    some, u = nystrom.spectrum(points, 12, 5, 2.0, kind="classic")  # fewer landmarks: the definition, dense
+    marks = [r["id"] for r in affinity.landmarks(points.select("id", "features"), 12).orderBy("rank").collect()]
+    rest = [i for i in range(30) if i not in marks]
+    a, b = w[np.ix_(marks, marks)], w[np.ix_(marks, rest)]
+    d1 = a.sum(1) + b.sum(1)
+    d = np.concatenate([d1, b.sum(0) + b.T @ np.linalg.pinv(a) @ b.sum(1)]) ** -0.5
+    a, b = a * np.outer(d[:12], d[:12]), b * np.outer(d[:12], d[12:])
+    s, q = np.linalg.eigh(np.linalg.pinv(a))
+    half = (q * np.sqrt(np.maximum(s, 0))) @ q.T
+    e, z = np.linalg.eigh(a + half @ b @ b.T @ half)
+    vec = np.r_[a, b.T] @ half @ z[:, ::-1][:, :5]
+    vec /= np.linalg.norm(vec, axis=0)
+    got = np.array([r["v"] for r in u.orderBy("id").collect()])[marks + rest]
+    assert np.allclose(some, 1 - e[::-1][:5], atol=1e-5) and np.allclose(np.abs((got * vec).sum(0)), 1, atol=1e-4)
+
+
+def test_landmark_spectra_feed_the_grid(spark, cloud):
+    x, points = cloud
+    truth = points.select("id", (F.col("id") >= 15).cast("int").alias("truth"))
+    e = affinity.averaged(affinity.gaussian_weights(points, 5))
+    runs = experiment.run_grid(e, truth, 2, repeats=6, gamma=1.0, tol=1e-4, stopping="modularity", spectra=experiment.landmark_spectra(points, 20, 1.0)).collect()
+    assert len(runs) == 72 and len({(r["algo"], r["operator"]) for r in runs}) == 12
+    best = {}
+    for r in runs:
+        best[r["algo"], r["operator"]] = max(best.get((r["algo"], r["operator"]), -1), r["ari"])
+    assert all(v == pytest.approx(1) for v in best.values()), best
+
+
+def test_products_move_no_edges(spark, karate):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        op = spectral.operator(karate[0], "laplacian_sym")
+        x = spectral.materialise_by(op.nodes.select("id", F.lit(1.0).alias("x0")), "id")
+        y = op.apply(x, 1)
+        y.collect()
+        plan = y._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[0]
+        assert final.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(src" in final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_baselines_on_karate_and_blocks(blocks, karate):
     e, truth = blocks
     assert metrics.adjusted_rand(baselines.louvain(e).join(truth, "id")).first()[0] == pytest.approx(1.0)
