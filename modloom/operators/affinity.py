@@ -133,33 +133,70 @@ def _d2(v: Column, x: list[float]) -> Column:
     return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(c)) for c in x]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
 
 
+Moments = tuple[float, np.ndarray, np.ndarray]
+
+
+def _merged(a: Moments | None, b: Moments) -> Moments:
+    """Count, mean and sums of products about the mean of two sets together (Chan's update): no cancellation however far the mean is from 0."""
+    if a is None:
+        return b
+    (na, ma, sa), (nb, mb, sb) = a, b
+    n, gap = na + nb, mb - ma
+    return n, ma + gap * (nb / n), sa + sb + np.outer(gap, gap) * (na * nb / n)
+
+
+def block_moments(points: DataFrame, branches: int = 64) -> Moments | None:
+    """The moments of all features in one pass: blocks of rows within each partition, then a tree; `branches` sets of d * d numbers reach
+    the driver."""
+    ship(points.sparkSession)
+
+    def packed(m: Moments) -> pd.DataFrame:
+        return pd.DataFrame({"n": [m[0]], "mean": [m[1]], "s": [m[2].ravel()]})
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(list(pdf.features))
+                mean = x.mean(0)
+                total = _merged(total, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+        if total is not None:
+            yield packed(total)
+
+    def unpacked(rows: list[tuple]) -> Moments | None:
+        total = None
+        for n, mean, s in rows:
+            total = _merged(total, (n, np.array(mean), np.reshape(s, (len(mean), len(mean)))))
+        return total
+
+    schema = "n double, mean array<double>, s array<double>"
+    parts = usable(points).select("features").mapInPandas(own, schema).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
+    joined = parts.groupBy("branch").applyInPandas(lambda pdf: packed(unpacked(list(zip(pdf.n, pdf["mean"], pdf.s, strict=True)))), schema)
+    return unpacked([tuple(r) for r in joined.collect()])
+
+
 def moments(points: DataFrame) -> DataFrame:
-    """(i, j, covariance, gram) of the features, i <= j, by sums of products."""
-    e = points.select("id", F.posexplode("features").alias("i", "x"))
-    means = e.groupBy("i").agg(F.avg("x").alias("m"))
-    dims = F.size("features")
-    pairs = points.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.transform(F.sequence(i, dims - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.element_at("features", i + 1) * F.element_at("features", j + 1)).alias("p")))))).alias("c"))
-    s = pairs.groupBy("c.i", "c.j").agg(F.sum("c.p").alias("gram"), F.count("c.p").alias("n"))
-    s = s.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("m").alias("mj")), "j")
-    return s.select("i", "j", ((F.col("gram") - F.col("n") * F.col("m") * F.col("mj")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"), "gram")
+    """(i, j, covariance, gram) of the features, i <= j."""
+    m = block_moments(points)
+    rows = []
+    if m is not None:
+        n, mean, s = m
+        gram = s + n * np.outer(mean, mean)
+        rows = [(i, j, float(s[i, j] / (n - 1)) if n > 1 else None, float(gram[i, j])) for i in range(len(mean)) for j in range(i, len(mean))]
+    return points.sparkSession.createDataFrame(rows, "i int, j int, covariance double, gram double")
 
 
 def pca(points: DataFrame, k: int) -> DataFrame:
     """(id, projected): centred, onto the k leading eigenvectors of the covariance (signs: largest component positive)."""
     ship(points.sparkSession)
     points = usable(points)
-    rows = moments(points).collect()  # dims**2 / 2 numbers
-    if not rows:
+    found = block_moments(points)
+    if found is None:
         return points.select("id", F.array().cast("array<double>").alias("projected")).limit(0)
-    d = max(r["i"] for r in rows) + 1
-    c = np.zeros((d, d))
-    for r in rows:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["covariance"]
-    mean = {r["i"]: r["m"] for r in points.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()}
-    _, v = np.linalg.eigh(c)
+    n, centre, s = found
+    _, v = np.linalg.eigh(s / max(n - 1, 1))
     v = v[:, ::-1][:, :k]
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(k)])
-    centre = np.array([mean[i] for i in range(d)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

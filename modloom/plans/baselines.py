@@ -361,6 +361,54 @@ def _distributed_split(edges: DataFrame, block: int) -> DataFrame:
     return labels.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
 
 
+def power_vector(edges: DataFrame, steps: int | None = None, tol: float = 1e-5) -> DataFrame:
+    """(id, x), written: products of D^-1 W with the degrees' shares, each brought to a sum of 1. Cut short on purpose: it ends when
+    no entry's change differs from its last change by more than tol / n (what is left by then is what tells clusters apart), or after `steps`."""
+    d = materialise(degrees(edges).select("id", F.col("d").cast("double").alias("d")))
+    n, total = d.agg(F.count("id"), F.sum("d")).first()
+    x = materialise(d.select("id", (F.col("d") / F.lit(total or 1.0)).alias("x"), F.lit(0.0).alias("change")))
+    for _ in count() if steps is None else range(steps):
+        y = edges.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y")).join(d, "id").select("id", (F.col("y") / F.col("d")).alias("y"))
+        both = materialise(y.join(x, "id"))
+        size = both.agg(F.sum("y")).first()[0] or 1.0
+        now = both.select("id", (F.col("y") / size).alias("x"), F.abs(F.col("y") / size - F.col("x")).alias("change"), F.col("change").alias("before"))
+        written = materialise(now)
+        turn = written.agg(F.max(F.abs(F.col("change") - F.col("before")))).first()[0]
+        discard(x, both)
+        x = written
+        if steps is None and (turn is None or turn <= tol / n):
+            break
+    discard(d)
+    return x.select("id", "x")
+
+
+def kmeans_line(values: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
+    """(id, label) of (id, x): Lloyd's rounds on the line from k centres evenly spaced between the ends, until no centre moves by 1e-12 (or
+    for `rounds`). A centre without points stays. The driver holds k sums a round; ties go to the lower centre."""
+    low, high = values.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return values.select("id", F.lit(0).alias("label"))
+    centres = [low + (i + 0.5) / k * (high - low) for i in range(k)]
+
+    def assigned() -> DataFrame:
+        near = F.array_min(F.array(*[F.struct(F.round(F.abs(F.col("x") - c), 12).alias("gap"), F.lit(i).alias("label")) for i, c in enumerate(centres)]))
+        return values.select("id", "x", near["label"].alias("label"))
+
+    for _ in count() if rounds is None else range(rounds):
+        means = {r["label"]: r["m"] for r in assigned().groupBy("label").agg(F.avg("x").alias("m")).collect()}
+        after = [means.get(i, c) for i, c in enumerate(centres)]
+        still = max(abs(a - b) for a, b in zip(after, centres, strict=True)) <= 1e-12
+        centres = after
+        if still:
+            break
+    return assigned().select("id", "label")
+
+
+def power_clusters(edges: DataFrame, k: int, steps: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(id, label): power-iteration clustering, the spectral clustering that needs no eigenvectors."""
+    return kmeans_line(power_vector(edges, steps), k, rounds)
+
+
 def spectral_kmeans(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """(id, label): k-means over rows of the k smallest eigenvectors of the symmetric Laplacian, scaled to unit length."""
     from pyspark.ml.clustering import KMeans

@@ -547,6 +547,12 @@ def spectral_kmeans(spark, d):
     return baselines.spectral_kmeans(graphs.trade(spark, d), K)
 
 
+@query
+def power_clusters(spark, d):
+    """The trade graph in five clusters by six power steps and five rounds on the line."""
+    return baselines.power_clusters(materialise(graphs.trade(spark, d)), K, 6, 5)
+
+
 # --- experiments --------------------------------------------------------------------------------------------------------
 
 

@@ -277,3 +277,18 @@ s{r} AS MATERIALIZED (SELECT {to('id')} AS id, sum(d) AS d FROM s{b} GROUP BY 1)
 _STRONG = "SELECT src, dst, w FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3"
 ORACLES["cnm"] = _merges_sql("SELECT src, dst, w FROM e", 24)
 ORACLES["cnm_batches"] = _merges_sql(f"SELECT src, dst, w FROM ({_STRONG}) UNION SELECT dst, src, w FROM ({_STRONG})", 24)
+
+
+def _power_sql(steps: int, rounds: int, k: int) -> str:
+    sql = f"{G}, x0 AS (SELECT id, d / tot AS x FROM d, t)"
+    for i in range(1, steps + 1):
+        sql += f""", y{i} AS (SELECT src AS id, sum(w * x) / any_value(d.d) AS y FROM e JOIN x{i - 1} x ON dst = x.id JOIN d ON d.id = src GROUP BY src),
+x{i} AS (SELECT id, y / (SELECT sum(y) FROM y{i}) AS x FROM y{i})"""
+    sql += f", c0 AS (SELECT range::INT AS i, lo + (range + 0.5::DOUBLE) / {k} * (hi - lo) AS c FROM range({k}), (SELECT min(x) AS lo, max(x) AS hi FROM x{steps}))"
+    near = lambda r: f"SELECT id, x, i FROM x{steps}, c{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(x - c), 12), i) = 1"
+    for r in range(1, rounds + 1):
+        sql += f", c{r} AS (SELECT i, coalesce(m, c) AS c FROM c{r - 1} LEFT JOIN (SELECT i, avg(x) AS m FROM ({near(r - 1)}) GROUP BY i) USING (i))"
+    return f"{sql} SELECT id, i AS label FROM ({near(rounds)})"
+
+
+ORACLES["power_clusters"] = _power_sql(6, 5, 5)

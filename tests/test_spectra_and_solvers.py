@@ -338,6 +338,27 @@ def test_betweenness_on_the_cluster(spark, karate):
     assert split == sorted(map(tuple, baselines.girvan_newman(toy, most_nodes=0).collect())) and len({x for _, x in split}) == 3
 
 
+def test_moments_far_from_zero(spark):
+    x = np.random.default_rng(3).normal(size=(400, 4)) + 1e8  # products of such values would lose the covariance
+    points = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)] + [(900, None), (901, [float("nan")] * 4)], "id long, features array<double>").repartition(6)
+    n, mean, s = affinity.block_moments(points, branches=2)
+    assert n == 400 and np.allclose(mean, x.mean(0)) and np.allclose(s / 399, np.cov(x.T), rtol=1e-6, atol=1e-7)
+    got = np.array([r["projected"] for r in affinity.pca(points, 2).orderBy("id").collect()])
+    want = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ want.T), atol=1e-5)
+    none = spark.createDataFrame([], "id long, features array<double>")
+    assert affinity.block_moments(none) is None and affinity.pca(none, 2).count() == 0 and affinity.moments(none).count() == 0
+
+
+def test_power_clusters_find_planted_blocks(spark):
+    parts = [range(0, 12), range(12, 30)]
+    arcs = " ".join(f"{i}-{j}" for p in parts for i in p for j in p if i < j) + " 0-12"
+    e = graphs.edges_of(spark, arcs)
+    got = {r["id"]: r["label"] for r in baselines.power_clusters(e, 2).collect()}
+    assert len({got[i] for i in range(12)}) == 1 and len({got[i] for i in range(12, 30)}) == 1 and got[1] != got[20]
+    assert baselines.kmeans_line(spark.createDataFrame([], "id long, x double"), 3).count() == 0
+
+
 def test_self_tuned_weights_keep_ties_and_copies(spark):
     x = [[0.0, 0.0]] * 6 + [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0], [3.0, 4.0], [5.0, 5.0]]
     got = {(r["src"], r["dst"]): r["w"] for r in affinity.self_tuned(spark.createDataFrame(list(enumerate(x)), "id long, features array<double>"), 3).collect()}
