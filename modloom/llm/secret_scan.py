@@ -8,7 +8,8 @@ at least SHARED_REPOS repositories for each of its owners is `shared` (an owner'
 Base spans stay whatever their class; an opaque span is added only where its value is live or shared.
 
 Positions come from the pieces between matches: the start of match i is the length of all pieces and matches before it,
-summed in blocks so that texts with very many matches stay cheap.
+summed in blocks of blocks. Spans of one kind are in order and apart, so a span meets those of another kind by binary search, and
+a text is redacted from pieces that are joined once: texts with very many matches stay cheap.
 
 Defined results: a null text counts as empty, a null owner as one owner of its own; repeated rows are kept and get equal
 results (they count once as a repository); an empty table gives no rows; columns other than doc_id, text and the owner
@@ -17,10 +18,15 @@ column are ignored by the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .joins import share_join
 
 #: The base patterns, in the order in which kinds are listed, and the kind that the method adds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,7 +39,8 @@ EXAMPLE_OWNERS, SHARED_REPOS = 3, 20
 #: Words of placeholders; characters, and different ones, of a value that looks live.
 PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567"
 LIVE_LENGTH, LIVE_DISTINCT = 8, 5
-BLOCK, SALTS = 128, 16
+#: Matches of a block, and blocks of an upper block, whose sums give positions; code points of a piece of a text that is cut.
+BLOCK, PIECE = 64, 1024
 SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
 
@@ -48,19 +55,30 @@ def _matches(text: Column, pattern: str, kind: int, value_group: int = 0, least:
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
 
+    def sums(a: Column) -> Column:
+        """The sums of runs of BLOCK numbers."""
+        n = F.ceil(F.size(a) / F.lit(BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda b: total(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def before(a: Column, i: Column) -> Column:
+        """The sum of those of the first i numbers that stand in the i-th one's block."""
+        return total(F.slice(a, (F.floor(i / F.lit(BLOCK)) * BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
+
+    def upper(x: Column) -> Column:
+        return F.struct(x["values"].alias("values"), x["whole"].alias("whole"), x["gaps"].alias("gaps"), x["steps"].alias("steps"), x["blocks"].alias("blocks"), sums(x["blocks"]).alias("tops"))
+
     def spans(x: Column) -> Column:
-        steps = x["steps"]
-        n_blocks = F.ceil(F.size(steps) / F.lit(BLOCK)).cast("int")
-        y = F.struct(x["values"].alias("values"), x["whole"].alias("whole"), x["gaps"].alias("gaps"), steps.alias("steps"), F.transform(F.sequence(F.lit(0), n_blocks), lambda b: total(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))).alias("blocks"))
+        y = F.struct(x["values"].alias("values"), x["whole"].alias("whole"), x["gaps"].alias("gaps"), x["steps"].alias("steps"), sums(x["steps"]).alias("blocks"))
 
         def span(y: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
-                start = total(F.slice(y["blocks"], F.lit(1), F.floor(i / F.lit(BLOCK)).cast("int"))) + total(F.slice(y["steps"], (F.floor(i / F.lit(BLOCK)) * BLOCK + 1).cast("int"), i % BLOCK)) + F.element_at(y["gaps"], i + 1)
+                b = F.floor(i / F.lit(BLOCK)).cast("int")
+                start = total(F.slice(y["tops"], F.lit(1), F.floor(b / F.lit(BLOCK)).cast("int"))) + before(y["blocks"], b) + before(y["steps"], i) + F.element_at(y["gaps"], i + 1)
                 return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), F.element_at(y["values"], i + 1).alias("value"))
 
             return F.filter(F.transform(y["whole"], one), lambda r: F.length(r["value"]) >= least)
 
-        return F.transform(F.array(y), span)[0]
+        return F.transform(F.transform(F.array(y), upper), span)[0]
 
     return F.transform(F.array(s), spans)[0]
 
@@ -73,10 +91,31 @@ def _spans(text: Column) -> Column:
         F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, 1)).otherwise(none),
         F.when(text.rlike(HEX), _matches(text, HEX, 2)).otherwise(none),
     ]
-    found = F.concat(*[F.coalesce(b, F.array().cast(SPAN)) for b in base])
+    base = [F.coalesce(b, F.array().cast(SPAN)) for b in base]
     more = F.when(text.rlike(OPAQUE), _matches(text, OPAQUE, 3)).otherwise(none)
     more = F.filter(F.coalesce(more, F.array().cast(SPAN)), lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Z]") & r["value"].rlike("[a-z]"))
-    return F.transform(F.array(F.struct(found.alias("base"), more.alias("more"))), lambda x: F.concat(x["base"], F.filter(x["more"], lambda r: ~F.exists(x["base"], lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))[0]
+
+    def untouched(x: Column) -> Column:
+        apart = lambda r: reduce(and_, [_last_end(x[f"k{k}"], lambda b: b["start"] < r["end"]) <= r["start"] for k in range(3)])
+        return F.concat(x["k0"], x["k1"], x["k2"], F.filter(x["more"], apart))
+
+    return F.transform(F.array(F.struct(*[b.alias(f"k{k}") for k, b in enumerate(base)], more.alias("more"))), untouched)[0]
+
+
+def _last_end(spans: Column, holds: Callable[[Column], Column]) -> Column:
+    """The end of the last span for which `holds`, 0 without one, by binary search: spans are in order and apart, and `holds` is true
+    of the first ones alone."""
+    state = "struct<low:int,high:int>"
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"] + 1) / F.lit(2)).cast("int")
+        open_ = a["low"] < a["high"]
+        yes = open_ & F.when(open_, holds(F.get(spans, mid - 1)))
+        return F.struct(F.when(yes, mid).otherwise(a["low"]).alias("low"), F.when(open_ & ~yes, mid - 1).otherwise(a["high"]).alias("high")).cast(state)
+
+    first = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")).cast(state)
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(spans))))
+    return F.aggregate(steps, first, step, lambda a: F.coalesce(F.get(spans, a["low"] - 1)["end"], F.lit(0).cast("long")))
 
 
 def _looks_live(value: Column) -> Column:
@@ -96,13 +135,10 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", e
     # distinct (hash, owner, repo) first: partial sums before each exchange keep a hot value from one task
     n_repos = each.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_repos"))
     n_owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_owners"))
-    seen = n_owners.join(n_repos, "hash")
-    salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = each.select("doc_id", "tie", "s", "hash").distinct()
+    seen = materialise(n_owners.join(n_repos, "hash").join(places.groupBy("hash").agg(F.count("s").alias("n_places")), "hash"))
     judged = (
-        each.select("doc_id", "tie", "s", "hash")
-        .distinct()
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["hash", "salt"])
+        share_join(places.withColumn("by", F.xxhash64("doc_id", "tie", "s.start")), seen.drop("n_places"), "hash", "by", seen, "n_places", "inner")
         .withColumn("class", F.when(F.col("n_owners") >= example_owners, "example").when(~_looks_live(F.col("s.value")), "dummy").when(F.col("n_repos") >= shared_repos * F.col("n_owners"), "shared").otherwise("live"))
         .filter((F.col("s.kind") < 3) | F.col("class").isin("live", "shared"))
     )
@@ -136,21 +172,46 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each run of overlapping spans replaced by the mark of its first one: what stands between the runs is cut from
+    pieces of PIECE code points, not from the text's beginning, and all is joined once."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+    def of_kind(k: int) -> Column:
+        return F.filter(spans, lambda r: r["kind"] == k).alias(f"k{k}")
+
+    x = F.struct(spans.alias("all"), pieces.alias("pieces"), F.length(text).cast("long").alias("size"), F.array_max(F.transform(spans, lambda r: r["end"])).alias("last"), *map(of_kind, range(len(KINDS))))
+
+    def cut(x: Column, start: Column, end: Column) -> Column:
+        at = F.floor(start / F.lit(PIECE)).cast("int")
+        some = F.slice(x["pieces"], at + 1, F.floor(end / F.lit(PIECE)).cast("int") - at + 1)
+        return F.substring(F.array_join(some, ""), (start % PIECE + 1).cast("int"), (end - start).cast("int"))
+
+    def joined(x: Column) -> Column:
+        def reached(r: Column) -> Column:
+            """The furthest end of the spans that stand before r."""
+
+            def before(k: int) -> Column:
+                return _last_end(x[f"k{k}"], lambda b: (b["start"] < r["start"]) | ((b["start"] == r["start"]) & (F.lit(k) < r["kind"])))
+
+            ends = map(before, range(len(KINDS)))
+            return F.struct(F.greatest(*ends).alias("pos"), r["start"].alias("start"), r["class"].alias("class"))
+
+        heads = F.filter(F.transform(x["all"], reached), lambda h: h["pos"] <= h["start"])
+        tag = lambda h: F.when(h["class"].isin("live", "shared"), F.lit("<secret>")).otherwise(F.lit("<example>"))
+        parts = F.transform(heads, lambda h: F.concat(cut(x, h["pos"], h["start"]), tag(h)))
+        return F.concat(F.array_join(parts, ""), cut(x, x["last"], x["size"]))
+
+    return F.transform(F.array(x), joined)[0]
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced in its text: <secret> for live and shared values, <example> for copied ones and dummies; all rows and columns stay, n_chars follows."""
     found = scan(docs).filter(F.col("spans").isNotNull()).dropDuplicates(["doc_id", "tie"])
     f = found.select(F.col("doc_id").alias("__modloom_id"), F.col("tie").alias("__modloom_tie"), F.col("spans").alias("__modloom_spans"))
     d = docs.withColumn("__modloom_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     d = d.join(f, F.col("doc_id").cast("long").eqNullSafe(F.col("__modloom_id")) & (F.col("__modloom_hash") == F.col("__modloom_tie")), "left")
-    kind = "struct<pos:long,out:string>"
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")).cast(kind)
-
-    def step(a: Column, r: Column) -> Column:
-        tag = F.when(r["class"].isin("live", "shared"), F.lit("<secret>")).otherwise(F.lit("<example>"))
-        cut = F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), (r["start"] - a["pos"]).cast("int")), tag)
-        return F.when(r["start"] < a["pos"], F.struct(F.greatest(a["pos"], r["end"]).alias("pos"), a["out"].alias("out"))).otherwise(F.struct(r["end"].alias("pos"), cut.alias("out"))).cast(kind)
-
-    clean = F.aggregate("__modloom_spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
+    clean = _redacted(F.col("text"), F.col("__modloom_spans"))
     out = d.withColumn("text", F.when(F.col("__modloom_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +161,50 @@ def test_owners_and_repositories_decide_the_class(spark):
     assert secret_scan.redact(docs_of(spark, rows)).filter("doc_id = 0").first()["text"] == "<secret> and more"
 
 
+def plain_redaction(text, spans):
+    out, pos = [], 0
+    for s in spans:
+        if s["start"] >= pos:
+            out += [text[pos : s["start"]], "<secret>" if s["class"] in ("live", "shared") else "<example>"]
+        pos = max(pos, s["end"])
+    return "".join([*out, text[pos:]])
+
+
+def test_overlapping_spans_and_redaction_by_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["token=", "api_key: ", "0123456789abcdef01234567", "AKIA", "ABCDEFGHIJKLMNOP", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "g", "/", ".", " ", "é", "𝒳", "\n", "Zz9", "deadbeef" * 3]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 200))), f"s{i % 2}") for i in range(150)]
+    found = {r["doc_id"]: r["spans"] or [] for r in secret_scan.scan(docs_of(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(spark, rows)).collect()}
+    some = 0
+    for i, t, _ in rows:
+        base = base_spans(t)
+        assert [(s["start"], s["kind"], s["end"]) for s in found[i] if s["kind"] < 3] == base
+        mixed = [(m.start(), m.end()) for m in re.finditer(secret_scan.OPAQUE, t) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        apart = {(a, b) for a, b in mixed if not any(x < b and a < y for x, _, y in base)}
+        more = {(s["start"], s["end"]) for s in found[i] if s["kind"] == 3}
+        assert more <= apart
+        some += len(more)
+        assert clean[i] == plain_redaction(t, found[i])
+    assert some
+
+
+def test_a_hundred_thousand_spans_in_one_text_take_linear_time(spark):
+    def text(n):
+        return " ".join(f"{i:06d}fedcba9876543210fe Zk3Yq9zTwA1pP0oI9uU8y{i:06d}é" for i in range(n))
+
+    took = {}
+    for n in (6_250, 50_000):
+        t = text(n)
+        began = time.perf_counter()
+        r = secret_scan.digest(secret_scan.scan(docs_of(spark, [(1, t, "s")]))).first()
+        clean = secret_scan.redact(docs_of(spark, [(1, t, "s")])).first()["text"]
+        took[n] = time.perf_counter() - began
+        assert r["n_hex"] == n and r["spans"].count("opaque") == n
+        assert clean == " ".join(["<secret> <secret>é"] * n)
+    assert took[50_000] < 120 and took[50_000] < 12 * took[6_250], took
+
+
 def test_secrets_on_odd_rows(spark):
     odd = [*ODD, (7, "token: " + "q" * 50_000, None), (None, "secret=abcdefgh", "s"), (None, "secret=abcdefgh", "s")]
     assert secret_scan.digest(secret_scan.scan(docs_of(spark, odd))).count() == len(odd)
