@@ -45,6 +45,16 @@ def init_binary_equal(nodes: DataFrame, seed: int = 7) -> DataFrame:
     return r.select("id", F.when(F.col("rank") <= F.floor(F.col("n") / 2), 1).otherwise(-1).alias("u"))
 
 
+def init_binary_random(nodes: DataFrame, seed: int = 7) -> DataFrame:
+    """A uniform value in [-1, 1) for each node."""
+    return nodes.select("id", (key("id", seed) / F.lit(2.0**31) - 1).alias("u"))
+
+
+def init_binary_vector(vectors: DataFrame, place: int = 1) -> DataFrame:
+    """Each node's entry of one eigenvector (id, v), by default of the second; null where v is shorter."""
+    return vectors.select("id", F.get("v", F.lit(place)).alias("u"))
+
+
 def seeds(labels: DataFrame, per_class: int, seed: int = 7) -> DataFrame:
     """per_class nodes of each true class, by keyed number."""
     w = Window.partitionBy("truth").orderBy(key("id", seed), "id")

@@ -238,6 +238,17 @@ def init_binary_equal(spark, d):
     return labelling.init_binary_equal(graphs.points(spark, d))
 
 
+@query
+def init_binary_random(spark, d):
+    return labelling.init_binary_random(graphs.points(spark, d)).select("id", six(F.col("u")).alias("u"))
+
+
+@query
+def init_binary_vector(spark, d):
+    """The points' second feature stands for the second eigenvector, so that SQL can follow it."""
+    return labelling.init_binary_vector(graphs.points(spark, d).select("id", F.col("features").alias("v"))).select("id", six(F.col("u")).alias("u"))
+
+
 @query
 def init_semi_supervised(spark, d):
     return labelling.init_semi_supervised(labelled(spark, d))

@@ -147,6 +147,8 @@ SELECT a.i, b.i AS j, {_six('sum(a.x * b.x)')} AS gram FROM x a JOIN x b ON a.id
     "communities_explode": f"{L} SELECT id, label FROM lab",
     "init_equal": f"{PTS}, r AS (SELECT id, row_number() OVER (ORDER BY {_key('id', 7)}, id) AS rank, count(*) OVER () AS n FROM p) SELECT id, CASE WHEN (rank - 1) // (n // 7) < 7 THEN (rank - 1) // (n // 7) END::INT AS label FROM r",
     "init_random": f"{PTS} SELECT id, ({_key('id', 7)} % 7)::INT AS label FROM p",
+    "init_binary_random": f"{PTS} SELECT id, {_six(f'{_key("id", 7)} / 2147483648.0::DOUBLE - 1')} AS u FROM p",
+    "init_binary_vector": f"{PTS} SELECT id, {_six('v[2]')} AS u FROM p",
     "init_binary_equal": f"{PTS}, r AS (SELECT id, row_number() OVER (ORDER BY {_key('id', 7)}, id) AS rank, count(*) OVER () AS n FROM p) SELECT id, CASE WHEN rank <= n // 2 THEN 1 ELSE -1 END::INT AS u FROM r",
     "init_semi_supervised": f"{L}, {SEED} SELECT lab.id, s.label FROM lab LEFT JOIN s USING (id)",
     "init_supervised_overlay": f"{L}, {SEED} SELECT lab.id, coalesce(s.label, lab.label)::INT AS label FROM lab LEFT JOIN s USING (id)",
