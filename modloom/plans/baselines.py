@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.encoding import key
 from ..operators.matrices import degrees
 from .spectral import DENSE, embedding
-from .tables import discard, materialise
+from .tables import discard, materialise, materialise_by
 
 
-def move_gains(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, d: DataFrame | None = None) -> DataFrame:
+def move_gains(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, d: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(id, own, cand, gain): what moving a node from its own community to a neighbouring one adds to 2m times half the modularity. d:
-    (id, d) of the graph where it is at hand."""
+    (id, d) of the graph where it is at hand; nodes: (id) of the nodes that may move, all without it."""
     d = (degrees(edges) if d is None else d).select("id", F.col("d").cast("double").alias("d"))
     l = labels.select("id", "label").join(d, "id")  # noqa: E741
     by = l.groupBy("label").agg(F.sum("d").alias("dc"))
     total = F.broadcast(d.agg(F.sum("d").alias("tot")))  # one row
+    if nodes is not None:
+        edges, l = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi"), l.join(nodes, "id", "left_semi")  # noqa: E741
     near = edges.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("cand")), "dst").groupBy(F.col("src").alias("id"), "cand").agg(F.sum("w").cast("double").alias("k"))
     # a node's own community is a candidate with no weight where it borders on none of it
     near = near.unionByName(l.select("id", F.col("label").alias("cand"), F.lit(0.0).alias("k"))).groupBy("id", "cand").agg(F.sum("k").alias("k"))
@@ -38,27 +40,43 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
+def affected(graph: DataFrame, labels: DataFrame, communities: DataFrame) -> DataFrame:
+    """(id): the nodes in these communities (label) and their neighbours; no other node's gains depend on who is in them."""
+    within = labels.join(communities, "label", "left_semi").select("id")
+    return within.union(graph.join(within.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
+
+
 def local_moves(graph: DataFrame, gamma: float = 1.0, rounds: int | None = None) -> tuple[DataFrame, bool]:
     """(id, label, moved), written, and whether anything has moved: from single nodes, rounds of moves to the best neighbouring community
     by nodes of alternating keyed parity, so that neighbours do not swap. They end when two rounds move nothing, when the labels
-    come again (moves made at once may undo each other, and would do so for ever), or after `rounds`."""
+    come again (moves made at once may undo each other, and would do so for ever), or after `rounds`.
+
+    A node whose gains were all spent at its last turn, two rounds ago, has none until a community changes that it is in or borders
+    on. So from the third round on only nodes at communities that changed in the last two rounds are asked, and only their edges are joined."""
     seen: set[tuple] = set()
+    graph = materialise_by(graph.select("src", "dst", "w"), "src")
     kept = materialise(graph.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"), F.lit(False).alias("moved")))
     moved_any, still, d = False, 0, materialise(degrees(graph))
+    touched: list[DataFrame] = []  # communities (label) that the last two rounds have changed
     for r in count() if rounds is None else range(rounds):
         labels = kept.select("id", "label")
-        best = move_gains(graph, labels, gamma, d).filter((F.col("gain") > 1e-9) & (key("id", 5) % 2 == r % 2)).groupBy("id").agg(F.max_by("cand", F.struct(F.round("gain", 9).alias("g"), (-F.col("cand")).alias("o"))).alias("to"))
-        new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
+        turn = labels.select("id") if r < 2 else affected(graph, labels, touched[0].union(touched[1]))
+        turn = turn.filter(key("id", 5) % 2 == r % 2)
+        best = move_gains(graph, labels, gamma, d, turn).filter(F.col("gain") > 1e-9).groupBy("id").agg(F.max_by("cand", F.struct(F.round("gain", 9).alias("g"), (-F.col("cand")).alias("o"))).alias("to"))
+        new = materialise(labels.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved"), F.col("label").alias("was")))
         moved, a, b = new.agg(F.count_if("moved"), F.bit_xor(F.xxhash64("id", "label")), F.bit_xor(F.xxhash64("label", "id", F.lit(5)))).first()
-        discard(kept)
-        kept = new
+        touched.append(materialise(new.filter("moved").select(F.explode(F.array("label", "was")).alias("label")).distinct()))
+        discard(kept, *touched[:-2])
+        kept, touched = new, touched[-2:]
         moved_any |= bool(moved)
         still = 0 if moved else still + 1
         if still == 2 or (moved and (r % 2, a, b) in seen):
             break
         seen.add((r % 2, a, b))
-    discard(d)
-    return kept, moved_any
+    discard(d, graph, *touched)
+    out = kept.select("id", "label", "moved")
+    out._modloom_path = kept._modloom_path
+    return out, moved_any
 
 
 def louvain(edges: DataFrame, gamma: float = 1.0, levels: int | None = None) -> DataFrame:

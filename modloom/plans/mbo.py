@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import key
 from ..operators.metrics import modularity
 from ..shipping import ship
+from .quality import Tracker
 from .tables import discard, materialise
 
 MAX_ITER = 10_000
@@ -203,6 +204,7 @@ def solve_together(problems: list[Problem], degrees: DataFrame, inits: DataFrame
     last, rounds, converged, before = [max_iter] * n, [0] * n, [False] * n, [0.0] * n
     trace: list[float] = []
     live = list(range(n)) if max_iter > 0 else []
+    tracker = Tracker(edges, n, k, gamma) if stopping == "modularity" else None
     t = 0
     while live:
         new = list(state)
@@ -210,8 +212,15 @@ def solve_together(problems: list[Problem], degrees: DataFrame, inits: DataFrame
             new[i] = filtered(i, sums[i])
         found, count = _round(start, len(slot), [runs[i] for i in live], [state[i] for i in live], [new[i] for i in live], k)
         sums, moved = dict(zip(live, found, strict=True)), dict(zip(live, count, strict=True))
-        state, t = new, t + 1
-        quality = {r["run"]: r["modularity"] for r in modularity(edges, _runs(start, len(slot), runs, state), "ng", gamma, ("run",)).collect()} if stopping == "modularity" else {}
+        was, state, t = state, new, t + 1
+        quality: dict[int, float] = {}
+        if tracker:
+            labels = _labels(start, len(slot), [runs[i] for i in live], [was[i] for i in live], [state[i] for i in live])
+            if t == 1:
+                tracker.full(labels, live)
+            else:
+                tracker.update(labels, live, int(sum(moved.values())))
+            quality = dict(enumerate(tracker.modularity().tolist()))
         if n == 1 and quality:
             trace.append(quality[0])
         still = []
@@ -222,8 +231,8 @@ def solve_together(problems: list[Problem], degrees: DataFrame, inits: DataFrame
             if stop <= tol:
                 converged[i] = True
                 continue
-            if t < last[i] and (was := seen[i].setdefault(tuple(sums[i][-1]), t)) < t and last[i] == max_iter:
-                last[i] = t + (max_iter - t) % (t - was)  # the state after max_iter rounds
+            if t < last[i] and (since := seen[i].setdefault(tuple(sums[i][-1]), t)) < t and last[i] == max_iter:
+                last[i] = t + (max_iter - t) % (t - since)  # the state after max_iter rounds
             if t >= last[i]:
                 rounds[i] = max_iter
                 continue
@@ -231,6 +240,8 @@ def solve_together(problems: list[Problem], degrees: DataFrame, inits: DataFrame
         live = still
     out = materialise(_runs(start, len(slot), runs, state))
     discard(start)
+    if tracker:
+        tracker.close()
     return Result(out, rounds, trace, converged)
 
 
@@ -252,6 +263,19 @@ def _runs(start: DataFrame, slots: int, runs: list[Run], state: Filters) -> Data
     return start.mapInPandas(run, "run int, id long, label int")
 
 
+def _labels(start: DataFrame, slots: int, runs: list[Run], was: Filters, now: Filters) -> DataFrame:
+    """(id, was, now): the labels of all runs in two states; -1 for none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v, first = _arrays(pdf, slots)
+                a, b = (np.stack([r.labels(v, first, c) for r, c in zip(runs, state, strict=True)], 1).astype(np.int32) for state in (was, now))
+                yield pd.DataFrame({"id": pdf.id, "was": list(a), "now": list(b)})
+
+    return start.mapInPandas(run, "id long, was array<int>, now array<int>")
+
+
 def solve(scheme: str, lam: np.ndarray, vectors: DataFrame, degrees: DataFrame, init: DataFrame, k: int, **kw) -> Result:
     """solve_many for one start (id, label)."""
     r = solve_many(scheme, lam, vectors, degrees, init.select("id", F.array("label").alias("labels")), k, **kw)
