@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, held, lean, materialise, ship, text_blocks, text_of
-from .components import components, spread_join
+from .components import components
+from .joins import share_join
 from .shingles import mixed, shingles, word_hashes
 
 BANDS, ROWS, BITS = 24, 5, 512
 SAMPLES = BANDS * ROWS
 #: Standard errors below the threshold at which a sketch rules a pair out; members of a tile's side, and shingles of all of them together; edges
-#: of a pivot that share a copy of its set; tasks that a bucket's members are dealt over.
-MARGIN, TILE, TILE_SHINGLES, SHARE, SALTS = 6.0, 512, 1 << 18, 256, 16
+#: of a pivot that share a copy of its set.
+MARGIN, TILE, TILE_SHINGLES, SHARE = 6.0, 512, 1 << 18, 256
 _rng = np.random.default_rng(8)
 _A = (_rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
@@ -131,17 +132,15 @@ def _bits(x: Column, y: Column) -> Column:
 
 def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between members and their bucket's smallest class; the members (key, digest, members) of buckets of several."""
-    buckets = bands.groupBy("key").agg(F.min("digest").alias("least"), F.count("digest").alias("members")).filter("members > 1")
-    # a bucket may hold a third of all classes: its members are dealt over SALTS tasks
-    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
-    copies = buckets.select("key", "least", "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shared_keys = materialise(bands.withColumn("salt", salt).join(copies, ["key", "salt"]).select("key", "digest", "least", "members"))
+    buckets = materialise(bands.groupBy("key").agg(F.min("digest").alias("least"), F.count("digest").alias("members")).filter("members > 1"))
+    # a bucket may hold a third of all classes: the members of such a one are dealt over tasks, as many as it has fair shares
+    shared_keys = materialise(share_join(bands, buckets, "key", "digest", buckets, "members", "inner").select("key", "digest", "least", "members"))
     pairs = materialise(shared_keys.filter("digest <> least").select(F.col("least").alias("p"), F.col("digest").alias("m")).distinct())
     small = classes.select("digest", "n", "sketch")
-    pivots = pairs.groupBy("p").agg(F.count("m").alias("edges")).join(small.withColumnRenamed("digest", "p"), "p")
-    pivots = pivots.select("p", F.col("n").alias("n_p"), F.col("sketch").alias("s_p"), (F.col("edges") / SHARE + 1).cast("int").alias("shares"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    edges = materialise(pairs.groupBy("p").agg(F.count("m").alias("edges")))
+    pivots = edges.join(small.withColumnRenamed("digest", "p"), "p").select("p", F.col("n").alias("n_p"), F.col("sketch").alias("s_p"), (F.col("edges") / SHARE + 1).cast("int").alias("shares"))
     near = pairs.join(small.select(F.col("digest").alias("m"), F.col("n").alias("n_m"), F.col("sketch").alias("s_m")), "m")
-    near = near.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int")).join(pivots, ["p", "salt"])
+    near = share_join(near, pivots, "p", "m", edges, "edges", "inner")
     near = near.filter((F.least("n_p", "n_m") * 100 >= F.greatest("n_p", "n_m") * percent) & (_bits(F.col("s_p"), F.col("s_m")) <= most_bits(percent / 100)))
     near = materialise(near.select("p", "m", "shares", F.pmod(F.xxhash64("m"), F.col("shares")).cast("int").alias("share")))
     wanted = near.select(F.col("p").alias("digest")).union(near.select("m")).distinct().join(classes.select("digest", "doc_id", "tie"), "digest")
@@ -151,7 +150,7 @@ def star_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, percent: i
     shared = F.size(F.array_intersect("h_p", "h_m"))
     links = both.filter(shared * 100 >= (F.size("h_p") + F.size("h_m") - shared) * percent)
     links = materialise(links.select(F.col("p").alias("a"), F.col("m").alias("b")))
-    discard(pairs, near, sets)
+    discard(buckets, pairs, edges, near, sets)
     return links, shared_keys
 
 
@@ -207,8 +206,8 @@ def settle(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
     return found
 
 
-def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
-    """Further links (a, b) within buckets of three or more members that lie in several components."""
+def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Further links (a, b) within buckets of three or more members that lie in several components; none where no bucket does."""
     named = members.select("key", "digest", "members").filter("members > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     named = materialise(named.join(classes.select("digest", "n"), "digest").select("key", "digest", "label", "members", "n"))
     per = named.groupBy("key", "label").agg(F.count("digest").alias("c"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
@@ -219,9 +218,12 @@ def tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels:
 
     # buckets of equal members are settled once
     keys = keys.groupBy("x", "y", "members").agg(F.min_by(F.struct("key", "main", "most", "n", "n_main"), "key").alias("k"))
-    keys = keys.select("k.key", "k.main", tiles_of(F.col("members"), F.col("k.n")).alias("nb"), tiles_of(F.col("members") - F.col("k.most"), F.col("k.n") - F.col("k.n_main")).alias("na"))
-    keys = materialise(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    m = named.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(keys, ["key", "salt"])
+    keys = keys.select("k.key", "k.main", "members", tiles_of(F.col("members"), F.col("k.n")).alias("nb"), tiles_of(F.col("members") - F.col("k.most"), F.col("k.n") - F.col("k.n_main")).alias("na"))
+    keys = materialise(keys)
+    if not keys.limit(1).count():  # every bucket is one component
+        discard(named, keys)
+        return None
+    m = share_join(named.drop("members"), keys, "key", "digest", keys, "members", "inner")
     h = F.xxhash64("digest", F.lit(7))
     side_b = m.select("key", "digest", "label", F.lit(1).alias("side"), F.pmod(h, F.col("nb")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"))
     side_a = m.filter("label <> main").select("key", "digest", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), F.pmod(h, F.col("na")).cast("int").alias("ta"))
@@ -253,29 +255,32 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     sig = materialise(signatures(docs, k))
     full = sig.filter("digest IS NOT NULL")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
-    classes = materialise(full.groupBy("digest").agg(least["doc_id"].alias("doc_id"), least["tie"].alias("tie"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    classes = materialise(full.groupBy("digest").agg(least["doc_id"].alias("doc_id"), least["tie"].alias("tie"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count("tie").alias("copies")))
     bands = classes.select("digest", F.explode("keys").alias("key"))
     first, members = star_links(docs, classes, bands, percent, k)
     labels = components(first)
     more = tile_links(docs, classes, members, labels, percent, k)
     discard(members)
-    if more.limit(1).count():
-        discard(labels)
-        labels = components(first.union(more))
-    discard(first, more)
-    # classes without a link are components of their own; the others' components may be large, so the joins are spread
-    made: list[DataFrame] = []
-    linked = classes.select("digest", "doc_id", "tie").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    ids = linked.filter("label IS NOT NULL").groupBy("label").agg(least["doc_id"].alias("component_id"), least["tie"].alias("first_tie"))
-    named = spread_join(linked, ids, "label", "digest", "left", made=made)
-    alone = F.col("label").isNull()
-    named = materialise(named.select("digest", F.coalesce("label", "digest").alias("label"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("tie")).otherwise(F.col("first_tie")).alias("first_tie")))
-    out = spread_join(sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles")), named, "digest", "tie", "left", F.xxhash64("doc_id", "tie"), made)
+    if more is not None:
+        if more.limit(1).count():
+            discard(labels)
+            labels = components(first.union(more))
+        discard(more)
+    discard(first)
+    # classes without a link are components of their own, named by themselves; the others' components, and classes, may be large
+    linked = classes.select("digest", "doc_id", "tie").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    ids = materialise(labels.join(classes.select(F.col("digest").alias("node"), "doc_id", "tie"), "node").groupBy("label").agg(least["doc_id"].alias("component_id"), least["tie"].alias("first_tie"), F.count("node").alias("classes")))
+    named = share_join(linked, ids, "label", "digest", ids, "classes")
+    alone = F.col("classes").isNull()
+    named = materialise(named.select("digest", "label", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("tie")).otherwise(F.col("first_tie")).alias("first_tie")))
+    rows = sig.select("doc_id", "tie", "digest", F.col("n").alias("n_shingles"), F.xxhash64("doc_id", "tie").alias("by"))
+    out = share_join(rows.filter("digest IS NOT NULL"), named, "digest", "by", classes, "copies")
+    out = out.unionByName(rows.filter("digest IS NULL"), allowMissingColumns=True)  # no words: met by nothing
     own = F.coalesce("component_id", "doc_id")
     # where all ids of a group are null, its least text is the one kept
     kept = F.col("doc_id").eqNullSafe(own) & (own.isNotNull() | F.col("first_tie").isNull() | (F.col("tie") == F.col("first_tie")))
     out = materialise(out.select("doc_id", "tie", "label", "n_shingles", own.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept")))
-    discard(sig, classes, labels, named, *made)
+    discard(sig, classes, labels, ids, named)
     return out
 
 
